@@ -79,8 +79,10 @@ def allocate(bits: np.ndarray, groups: list[list[int]], n: int, tau: int) -> tup
     half = len(bits) // 2
     left, right = bits[:half], bits[half : 2 * half]
     costs = []
+    pairs = [(left != np.roll(right, s, axis=0)) for s in range(16)] if half else []
+    pairs = [x[x.sum(axis=1) > 4 * tau] for x in pairs]  # near copies are candidates under any plan
     for own in groups:
-        apart = np.concatenate([(left[:, own] != np.roll(right, s, axis=0)[:, own]).sum(axis=1) for s in range(16)]) if half else np.zeros(0)
+        apart = np.concatenate([x[:, own].sum(axis=1) for x in pairs]) if pairs else np.zeros(0)
         w, ball, row = len(own), 0, {-1: 0.0}
         for t in range(tau + 1):
             ball += len(list(combinations(range(w), t)))
