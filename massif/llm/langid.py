@@ -67,7 +67,7 @@ def logits(texts: list[str], rows: np.ndarray) -> np.ndarray:
         own = np.array([i for i, _, _ in parts])
         for order in ORDERS:
             # windows that start in a text's own part and end in it
-            ends = np.array([n - max(0, n + order - 1 - len(p)) for _, p, n in parts])
+            ends = np.array([max(0, min(n, len(p) - order + 1)) for _, p, n in parts])
             hashed = np.full(len(joined), BUCKETS, np.int32)
             got = windows(joined, order)
             hashed[: len(got)] = got
