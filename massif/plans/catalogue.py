@@ -1,8 +1,409 @@
-"""Named queries over the driver's tables and their SQL counterparts."""
+"""Named queries over the driver's tables, and the same results as SQL for DuckDB."""
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from massif.config import EngineConfig
+from massif.functions import scalar
+from massif.operators import cluster, hierarchy, raster, trees, validate, zonal
+from massif.sources import scene
+from massif.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+CONFIG = EngineConfig()
+NOW = datetime(2024, 2, 15)
+
+PIXELS = """px AS (SELECT object_id, CAST(n // 24 AS INT) AS row, CAST(n % 24 AS INT) AS col, 10 + CAST(0.25 AS DOUBLE) * (n % 24) + CAST(0.125 AS DOUBLE) * (n // 24) + q AS dsm,
+  10 + CAST(0.25 AS DOUBLE) * (n % 24) + CAST(0.125 AS DOUBLE) * (n // 24) AS dtm FROM (SELECT l_suppkey AS object_id, l_quantity AS q,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) - 1 AS n FROM lineitem)),
+h AS (SELECT *, dsm - dtm AS h FROM px)"""
+TOWERS = """grid AS (SELECT CAST(i // 24 AS INT) AS row, CAST(i % 24 AS INT) AS col FROM range(576) AS t(i)),
+tw AS (SELECT s_suppkey AS object_id, row, col, CAST(CASE WHEN row BETWEEN 8 AND 9 AND col BETWEEN 8 AND 9 THEN 0 WHEN row = 5 AND col = 5 + s_suppkey % 3 THEN 0
+  WHEN row BETWEEN 10 AND 14 AND col BETWEEN 10 AND 14 + s_suppkey % 4 THEN 20 + s_suppkey % 7 WHEN row BETWEEN 3 AND 16 AND col BETWEEN 3 AND 16 THEN 6 + s_suppkey % 5 ELSE 0 END AS DOUBLE) AS h FROM supplier, grid)"""
+PARTS = """parts AS (SELECT *, 10.0::DOUBLE AS ground, 10 + base AS base_elev, 10 + top + CASE WHEN p_size % 31 = 0 THEN 0.5 ELSE 0 END AS top_elev, (100 - 20 * n)::DOUBLE AS area,
+  (100 - 20 * n) * (top - base) + CASE WHEN p_size % 19 = 0 THEN 7 ELSE 0 END AS volume, CASE WHEN p_size % 37 = 0 THEN 1.5 ELSE 1.0 END AS cov,
+  CASE WHEN n = 0 THEN NULL WHEN p_size % 23 = 0 THEN 'nowhere' ELSE printf('%d-P%02d', obj, n - 1) END AS parent, printf('%d-P%02d', obj, n) AS pid, n + CASE WHEN p_size % 29 = 0 THEN 1 ELSE 0 END AS lvl
+  FROM (SELECT *, CAST(p_partkey % 4 AS BIGINT) AS n, CAST(p_partkey // 4 AS BIGINT) AS obj, (5 * (p_partkey % 4) + CASE WHEN p_size % 17 = 0 THEN 1 ELSE 0 END)::DOUBLE AS base, (5 * (p_partkey % 4) + 5)::DOUBLE AS top FROM part))"""
+JOBS = """ev AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'cancelling' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS state FROM events),
+last AS (SELECT job_id, arg_max(state, (ts, seq)) AS state, max(ts) AS ts FROM ev GROUP BY job_id)"""
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# ---- zonal ----
+
+_PROFILE = """prof AS (SELECT object_id, count(*) AS expected_pixel_count, count(h) AS valid_pixel_count, count(*) FILTER (h >= 2) AS building_pixel_count, min(dtm) AS ground_elevation_m,
+  quantile_cont(h, 0.05) FILTER (h >= 2) AS p05, quantile_cont(h, 0.95) FILTER (h >= 2) AS p95, avg(h) FILTER (h >= 2) AS mean_building_height, avg(h) AS mean_height FROM h GROUP BY object_id)"""
+
+
+@query(f"WITH {PIXELS}, {_PROFILE} SELECT object_id, expected_pixel_count, valid_pixel_count, building_pixel_count, ground_elevation_m, round(p05, 6) AS p05, round(p95, 6) AS p95, round(mean_building_height, 6) AS mean_building_height, round(mean_height, 6) AS mean_height FROM prof")
+def zonal_height_profile(spark, sf_dir):
+    return _round(zonal.profile(scene.pixels(spark, sf_dir)))
+
+
+def _ground(how, sql):
+    def run(spark, sf_dir):
+        return _round(scene.pixels(spark, sf_dir).groupBy("object_id").agg(zonal.ground(how).alias("ground_m")))
+
+    run.__name__ = f"ground_stat_{how}"
+    query(f"WITH {PIXELS} SELECT object_id, round({sql}(dtm), 6) AS ground_m FROM h GROUP BY object_id")(run)
+
+
+for _how, _sql in (("min", "min"), ("mean", "avg"), ("median", "median")):
+    _ground(_how, _sql)
+
+
+@query(f"WITH {PIXELS}, {_PROFILE} SELECT object_id, expected_pixel_count, valid_pixel_count, building_pixel_count AS support_pixel_count, round(valid_pixel_count / expected_pixel_count, 4) AS valid_coverage_ratio FROM prof")
+def raster_evidence(spark, sf_dir):
+    p = zonal.profile(scene.pixels(spark, sf_dir))
+    return p.select("object_id", "expected_pixel_count", "valid_pixel_count", F.col("building_pixel_count").alias("support_pixel_count"), F.round(zonal.coverage(), 4).alias("valid_coverage_ratio"))
+
+
+_FOOT = "foot AS (SELECT s_suppkey AS object_id FROM supplier UNION ALL SELECT -c_custkey - 1 FROM customer WHERE c_custkey < 20)"
+_MASS = f"""mass AS (SELECT foot.object_id, CASE WHEN expected_pixel_count IS NULL THEN 'OUTSIDE_ANALYSIS_GRID' WHEN valid_pixel_count < 1 THEN 'NO_VALID_DSM_DTM_PIXELS' WHEN building_pixel_count < 3 THEN 'SINGLE_MASS_INSUFFICIENT_BUILDING_PIXELS'
+  WHEN p95 - p05 < {CONFIG.height_diff_threshold_m} THEN 'SINGLE_MASS_UNIFORM_HEIGHT' ELSE 'MULTIPLE_HEIGHTS' END AS reason, CASE WHEN building_pixel_count < 3 THEN mean_height ELSE mean_building_height END AS height_m, ground_elevation_m, expected_pixel_count
+  FROM foot LEFT JOIN prof USING (object_id))"""
+
+
+@query(f"WITH {PIXELS}, {_PROFILE}, {_FOOT}, {_MASS} SELECT object_id, reason, round(greatest(height_m, 0), 6) AS height_m FROM mass WHERE height_m IS NOT NULL UNION ALL SELECT object_id, reason, CAST(0 AS DOUBLE) FROM mass WHERE height_m IS NULL")
+def single_mass_reason(spark, sf_dir):
+    return _round(zonal.single_mass(scene.footprints(spark, sf_dir), scene.pixels(spark, sf_dir)).select("object_id", "reason", "height_m"))
+
+
+@query(f"""WITH {PIXELS}, {_PROFILE}, {_FOOT}, {_MASS} SELECT object_id, object_id || '-P00' AS part_id, 0 AS part_level, ground_elevation_m, round(height_m, 4) AS top_height_agl_m, CAST(expected_pixel_count AS DOUBLE) AS area_m2,
+  round(round(height_m, 4) * expected_pixel_count, 4) AS volume_m3, round(ground_elevation_m + height_m, 4) AS top_elevation_m FROM mass WHERE expected_pixel_count IS NOT NULL""")
+def single_mass_parts(spark, sf_dir):
+    m = zonal.single_mass(scene.footprints(spark, sf_dir), scene.pixels(spark, sf_dir)).filter("expected_pixel_count is not null")
+    top, area = F.round("height_m", 4), F.col("expected_pixel_count").cast("double")
+    return m.select("object_id", F.format_string("%d-P%02d", "object_id", F.lit(0)).alias("part_id"), F.lit(0).alias("part_level"), "ground_elevation_m", top.alias("top_height_agl_m"), area.alias("area_m2"), F.round(top * area, 4).alias("volume_m3"), F.round(F.col("ground_elevation_m") + F.col("height_m"), 4).alias("top_elevation_m"))
+
+
+@query(f"""WITH {PIXELS}, f AS (SELECT s_suppkey AS object_id, s_suppkey % 5 AS x0, s_suppkey % 3 AS y0, s_suppkey % 5 + 7 + s_suppkey % 9 AS x1, s_suppkey % 3 + 6 + s_suppkey % 11 AS y1 FROM supplier), one AS (SELECT * FROM h WHERE object_id = 0)
+  SELECT f.object_id, count(*) AS n, round(sum(h), 4) AS total_h FROM f JOIN one ON col + 0.5 > x0 AND col + 0.5 < x1 AND row + 0.5 > y0 AND row + 0.5 < y1 GROUP BY f.object_id""")
+def range_join_footprint_pixels(spark, sf_dir):
+    foot = scene.footprints(spark, sf_dir).filter("object_id >= 0").select("object_id", F.array("x0", "x1", "x1", "x0").alias("xs"), F.array("y0", "y0", "y1", "y1").alias("ys"))
+    own = zonal.ndsm(scene.pixels(spark, sf_dir)).filter("object_id = 0").select("row", "col", "ndsm")
+    return zonal.pixels_in(foot, own).groupBy("object_id").agg(F.count("*").alias("n"), F.round(F.sum("ndsm"), 4).alias("total_h"))
+
+
+@query(f"""WITH {PIXELS}, z AS (SELECT row, col, dtm AS z FROM px WHERE object_id = 0), t AS (SELECT c_custkey AS id, 1 + CAST(c_custkey % 16 AS DOUBLE) / 4 + CAST(0.125 AS DOUBLE) AS y, 1 + CAST(c_custkey % 64 AS DOUBLE) / 4 + CAST(0.0625 AS DOUBLE) AS x FROM customer)
+  SELECT id, round(10 + 0.25 * x + 0.125 * y, 6) AS z FROM t""")
+def bilinear_terrain(spark, sf_dir):
+    coarse = scene.pixels(spark, sf_dir).filter("object_id = 0").select("row", "col", F.col("dtm").alias("z"))
+    k = F.col("c_custkey")
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), (1 + (k % 16) / 4 + 0.125).alias("y"), (1 + (k % 64) / 4 + 0.0625).alias("x"))
+    return zonal.bilinear(coarse, asked).select("id", F.round("z", 6).alias("z"))
+
+
+# ---- height classes ----
+
+_KMEANS = f"""hist AS (SELECT object_id, list(h ORDER BY h) AS vs, list(n ORDER BY h) AS ns, sum(n) AS total FROM (SELECT object_id, h, count(*) AS n FROM h WHERE h >= 2 GROUP BY object_id, h) GROUP BY object_id),
+  al AS (SELECT object_id, list(h ORDER BY h) AS al FROM h WHERE h >= 2 GROUP BY object_id),
+  q0 AS (SELECT object_id, vs, ns, al, least({CONFIG.max_height_classes}, len(vs)) AS kk, CAST(len(al) - 1 AS DOUBLE) AS top FROM hist JOIN al USING (object_id)),
+  q AS (SELECT object_id, vs, ns, list_sort(list_distinct(list_transform(list_transform(range(0, kk), lambda i: CASE WHEN kk > 1 THEN CAST(i AS DOUBLE) / (kk - 1) ELSE 0 END * top),
+    lambda p: al[CAST(floor(p) AS INT) + 1] + (al[CAST(ceil(p) AS INT) + 1] - al[CAST(floor(p) AS INT) + 1]) * (p - floor(p))))) AS c FROM q0),
+  it AS (SELECT object_id, 0 AS step, vs, ns, c, false AS done FROM q
+    UNION ALL SELECT object_id, step + 1, vs, ns, n, list_max(list_transform(list_zip(n, c), lambda z: abs(z[1] - z[2]))) < 1e-6 FROM (
+      SELECT *, list_transform(c, lambda y, i: coalesce(
+        list_sum(list_transform(list_filter(list_zip(vs, ns), lambda z: (i = 1 OR z[1] > (c[i - 1] + y) / 2) AND (i = len(c) OR z[1] <= (y + c[i + 1]) / 2)), lambda z: z[1] * z[2]))
+        / list_sum(list_transform(list_filter(list_zip(vs, ns), lambda z: (i = 1 OR z[1] > (c[i - 1] + y) / 2) AND (i = len(c) OR z[1] <= (y + c[i + 1]) / 2)), lambda z: z[2])), y)) AS n
+      FROM it WHERE NOT done AND step < 60)),
+  km AS (SELECT object_id, unnest(list_sort(arg_max(c, step))) AS center FROM it GROUP BY object_id)"""
+_MERGED = f"""mg AS (SELECT object_id, grp - 1 AS cls, avg(center) AS center FROM (SELECT *, sum(isnew) OVER (PARTITION BY object_id ORDER BY center) AS grp FROM (
+  SELECT *, CASE WHEN center - lag(center) OVER (PARTITION BY object_id ORDER BY center) < {CONFIG.height_diff_threshold_m} THEN 0 ELSE 1 END AS isnew FROM km)) GROUP BY object_id, grp)"""
+_CLASSED = """cl AS (SELECT object_id, cls, center, CAST(sum(n) AS BIGINT) AS px FROM (SELECT h.object_id, h.h, h.n, arg_min(mg.cls, (abs(mg.center - h.h), mg.cls)) AS cls, arg_min(mg.center, (abs(mg.center - h.h), mg.cls)) AS center
+  FROM (SELECT object_id, h, count(*) AS n FROM h WHERE h >= 2 GROUP BY object_id, h) h JOIN mg USING (object_id) GROUP BY ALL) GROUP BY object_id, cls, center)"""
+
+
+def _hist(spark, sf_dir):
+    return cluster.histograms(scene.pixels(spark, sf_dir), CONFIG.min_building_height_m)
+
+
+def _centers(spark, sf_dir):
+    return cluster.kmeans(_hist(spark, sf_dir), CONFIG.max_height_classes)
+
+
+@query(f"WITH RECURSIVE {PIXELS}, {_KMEANS} SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY center) - 1 AS INT) AS cls, round(center, 6) AS center FROM km")
+def kmeans_1d_heights(spark, sf_dir):
+    return _centers(spark, sf_dir).select("object_id", F.posexplode("centers").alias("cls", "center")).withColumn("center", F.round("center", 6))
+
+
+@query(f"WITH RECURSIVE {PIXELS}, {_KMEANS}, {_MERGED} SELECT object_id, CAST(cls AS BIGINT) AS cls, round(center, 6) AS center FROM mg")
+def merge_close_centers(spark, sf_dir):
+    return _round(cluster.merge_close(_centers(spark, sf_dir), CONFIG.height_diff_threshold_m))
+
+
+@query(f"WITH RECURSIVE {PIXELS}, {_KMEANS}, {_MERGED}, {_CLASSED} SELECT object_id, CAST(cls AS INT) AS cls, round(center, 6) AS center, px, CAST(sum(px) OVER (PARTITION BY object_id ORDER BY center DESC) AS BIGINT) AS px_from_here FROM cl")
+def class_pixels(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c = _centers(spark, sf_dir)
+    counted = cluster.classes(_hist(spark, sf_dir), cluster.merge_close(c, CONFIG.height_diff_threshold_m))
+    w = Window.partitionBy("object_id").orderBy("center").rowsBetween(0, Window.unboundedFollowing)
+    return _round(counted.withColumn("px_from_here", F.sum("px").over(w)))
+
+
+@query(f"""WITH RECURSIVE {PIXELS}, {_KMEANS}, {_MERGED}, {_CLASSED}, cu AS (SELECT *, sum(px) OVER (PARTITION BY object_id ORDER BY center DESC) AS cum, row_number() OVER (PARTITION BY object_id ORDER BY center) AS k FROM cl),
+  lv AS (SELECT object_id, k, cls AS start_cls, center AS height, cum AS ref, 0 AS level FROM cu WHERE k = 1
+    UNION ALL SELECT cu.object_id, cu.k, CASE WHEN o THEN cls ELSE start_cls END, center, CASE WHEN o THEN cum ELSE ref END, CASE WHEN o THEN level + 1 ELSE level END FROM (SELECT cu.*, lv.start_cls, lv.ref, lv.level, 1 - cu.cum / lv.ref >= {CONFIG.min_footprint_change_ratio} AS o FROM lv JOIN cu ON cu.object_id = lv.object_id AND cu.k = lv.k + 1) cu)
+  SELECT object_id, CAST(level AS INT) AS level, CAST(start_cls AS BIGINT) AS start_cls, round(arg_max(height, k), 6) AS height FROM lv GROUP BY object_id, level, start_cls""")
+def level_merge(spark, sf_dir):
+    counted = cluster.classes(_hist(spark, sf_dir), cluster.merge_close(_centers(spark, sf_dir), CONFIG.height_diff_threshold_m))
+    return _round(cluster.levels(counted, CONFIG.min_footprint_change_ratio))
+
+
+@query()
+def part_hierarchy(spark, sf_dir):
+    return hierarchy.parts(scene.towers(spark, sf_dir))
+
+
+@query()
+def run_summary(spark, sf_dir):
+    return hierarchy.summary(hierarchy.parts(scene.towers(spark, sf_dir)))
+
+
+# ---- neighbourhoods ----
+
+
+@query(f"WITH {PIXELS} SELECT a.object_id, a.row, a.col, a.h FROM h a JOIN h b ON a.object_id = b.object_id AND b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY ALL HAVING a.h = max(b.h) AND a.h > 0")
+def local_maxima(spark, sf_dir):
+    return raster.local_maxima(scene.pixels(spark, sf_dir), 2)
+
+
+@query(f"""WITH {TOWERS}, d AS (SELECT r, c FROM range(-2, 3) a(r), range(-2, 3) b(c) WHERE abs(r) + abs(c) <= 2), m AS (SELECT object_id, row, col FROM tw WHERE h >= 2),
+  w AS (SELECT DISTINCT object_id, row + r AS row, col + c AS col FROM m, d WHERE row + r BETWEEN 0 AND 23 AND col + c BETWEEN 0 AND 23),
+  e AS (SELECT object_id, row + r AS row, col + c AS col FROM w, d GROUP BY ALL HAVING count(*) = 13)
+  SELECT object_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col FROM e UNION SELECT object_id, row, col FROM m""")
+def binary_closing(spark, sf_dir):
+    mask = zonal.ndsm(scene.towers(spark, sf_dir)).filter("ndsm >= 2")
+    return raster.closing(mask, 2, scene.WIDTH, scene.WIDTH)
+
+
+@query(f"WITH {PIXELS} SELECT object_id, arg_max(row, (h, -row, -col)) AS row, arg_max(col, (h, -row, -col)) AS col, max(h) AS h FROM h GROUP BY object_id")
+def apex_pixel(spark, sf_dir):
+    return trees.apex_pixel(scene.pixels(spark, sf_dir))
+
+
+_SETS = """c AS (SELECT object_id, row // 6 AS cand, row, col FROM tw WHERE h >= 20), p AS (SELECT object_id, 'root' AS part, 0 AS lvl, row, col FROM tw UNION ALL SELECT object_id, 'podium', 1, row, col FROM tw WHERE h >= 6 AND col < 13)"""
+
+
+@query(f"""WITH {TOWERS}, {_SETS}, s AS (SELECT c.object_id, c.cand, p.part, p.lvl, count(*) / any_value(n) AS score, any_value(area) AS area FROM c JOIN p USING (object_id, row, col) JOIN (SELECT object_id, cand, count(*) AS n FROM c GROUP BY ALL) USING (object_id, cand) JOIN (SELECT object_id, part, count(*) AS area FROM p GROUP BY ALL) a ON a.object_id = c.object_id AND a.part = p.part GROUP BY c.object_id, c.cand, p.part, p.lvl)
+  SELECT object_id, CAST(cand AS BIGINT) AS cand, part, round(score, 6) AS score FROM s WHERE lvl = 0 OR score >= 0.5 QUALIFY row_number() OVER (PARTITION BY object_id, cand ORDER BY lvl DESC, score DESC, area DESC, part) = 1""")
+def best_parent_overlap(spark, sf_dir):
+    t = zonal.ndsm(scene.towers(spark, sf_dir))
+    cands = t.filter("ndsm >= 20").select("object_id", F.floor(F.col("row") / 6).alias("cand"), "row", "col")
+    root = t.select("object_id", F.lit("root").alias("part"), F.lit(0).alias("lvl"), "row", "col")
+    podium = t.filter("ndsm >= 6 and col < 13").select("object_id", F.lit("podium").alias("part"), F.lit(1).alias("lvl"), "row", "col")
+    return _round(raster.best_parents(cands, root.unionByName(podium)))
+
+
+# ---- trees ----
+
+_CANOPY = f"""{PIXELS}, hc AS (SELECT *, CASE WHEN h IS NOT NULL THEN least(greatest(h, 0), 150) END AS hh FROM h),
+cp AS (SELECT object_id, count(hh) AS n_valid, quantile_cont(hh, 0.25) AS p25, quantile_cont(hh, 0.5) AS p50, quantile_cont(hh, 0.75) AS p75, quantile_cont(hh, 0.9) AS p90, quantile_cont(hh, 0.95) AS p95, max(hh) AS h_max, min(hh) AS h_min,
+  coalesce(median(dtm) FILTER (dtm > -20 AND dtm < 2000), 0) AS ground_m FROM hc GROUP BY object_id)"""
+
+
+@query(f"WITH {_CANOPY} SELECT object_id, n_valid, {', '.join(f'round({c}, 6) AS {c}' for c in ('p25', 'p50', 'p75', 'p90', 'p95', 'h_max', 'h_min', 'ground_m'))} FROM cp")
+def canopy_profile(spark, sf_dir):
+    return _round(trees.canopy_profile(scene.pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {_CANOPY}, a AS (SELECT *, CAST(object_id % 12 * 10 - 10 AS DOUBLE) AS area FROM cp) SELECT object_id, CASE WHEN area <= 0 THEN 'INVALID_OR_EMPTY_FOOTPRINT' WHEN n_valid < 3 THEN 'NO_VALID_RASTER_DATA'
+  WHEN (p25 >= 20 AND area < 50) OR (p50 >= 30 AND area < 100) OR (h_min >= 20 AND area < 50) THEN 'ROOFTOP_STRUCTURE' WHEN area < 8 AND p90 >= 25 THEN 'ANTENNA_OR_TOWER' WHEN p90 < {CONFIG.min_tree_height} THEN 'LOW_VEGETATION_OR_GROUND' END AS reason FROM a""")
+def canopy_reject_reason(spark, sf_dir):
+    p = trees.canopy_profile(scene.pixels(spark, sf_dir))
+    return p.select("object_id", trees.rejection((F.col("object_id") % 12 * 10 - 10).cast("double")).alias("reason"))
+
+
+@query(f"""WITH {_CANOPY}, k AS (SELECT object_id, p50, h_max, p50 < 20 + 10 AND h_max >= 25 AS spills0, p50 < 20 AND h_max >= 25 AS spills, hh, CASE WHEN hh <= least(35, p50 + 2.5 * greatest(2, p75 - p25)) AND hh > 0 THEN hh END AS kept FROM hc JOIN cp USING (object_id))
+  SELECT object_id, round(least(CASE WHEN any_value(spills) THEN CASE WHEN count(kept) >= 3 THEN quantile_cont(kept, 0.95) ELSE any_value(p50) END ELSE any_value(h_max) END, {CONFIG.max_bio_height_m}), 6) AS apex_m FROM k GROUP BY object_id""")
+def wall_cleaning(spark, sf_dir):
+    px = scene.pixels(spark, sf_dir)
+    return _round(trees.clean_apex(px, trees.canopy_profile(px)))
+
+
+_TREES = "t AS (SELECT p_partkey AS tree_id, CAST(p_size AS DOUBLE) AS height_m, p_retailprice / 10 AS area_m2 FROM part)"
+_CROWN = f"{_TREES}, c AS (SELECT *, round(least(round(2 * sqrt(greatest(round(area_m2, 2), 0.1) / pi()), 2), greatest(2.5, least(18, 1.5 * height_m))), 2) AS crown_diameter_m FROM t)"
+_ALLO = f"""{_CROWN}, b AS (SELECT *, 0.55 * pow(greatest(height_m, 0.5), 0.92) * pow(greatest(crown_diameter_m, 0.5), 0.42) AS dbh0 FROM c), a AS (SELECT *, round(dbh0, 1) AS dbh_cm, 0.0673 * pow({CONFIG.wood_density} * round(dbh0, 1) * round(dbh0, 1) * greatest(height_m, 0.5), 0.976) AS agb FROM b)"""
+
+
+def _trees(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("tree_id"), F.col("p_size").cast("double").alias("height_m"), (F.col("p_retailprice") / 10).alias("area_m2"))
+
+
+@query(f"WITH {_ALLO} SELECT tree_id, crown_diameter_m, dbh_cm, round(agb, 1) AS biomass_kg FROM a")
+def tree_allometry(spark, sf_dir):
+    return trees.allometry(trees.crown(_trees(spark, sf_dir))).select("tree_id", "crown_diameter_m", "dbh_cm", "biomass_kg")
+
+
+@query(f"""WITH {_TREES}, k AS (SELECT *, round(height_m * {CONFIG.trunk_ratio}, 2) AS trunk_m, round(height_m - round(height_m * {CONFIG.trunk_ratio}, 2), 2) AS crown_m FROM t),
+  n AS (SELECT *, CASE WHEN crown_m >= 2.0 THEN 3 WHEN crown_m >= 0.8 THEN 2 ELSE 1 END AS n FROM k), e AS (SELECT *, unnest(range(0, n)) AS tier FROM n),
+  x AS (SELECT tree_id, CAST(tier AS INT) AS tier, round(trunk_m + tier * crown_m / n, 2) AS base_m, CASE WHEN tier = n - 1 THEN round(height_m, 2) ELSE round(trunk_m + (tier + 1) * crown_m / n, 2) END AS top_m FROM e)
+  SELECT * FROM x WHERE top_m - base_m > 0.05""")
+def tree_tiers(spark, sf_dir):
+    return trees.tiers(_trees(spark, sf_dir))
+
+
+@query(f"WITH {_ALLO} SELECT count(*) AS n_trees, round(avg(height_m), 4) AS mean_height_m, min(height_m) AS min_height_m, max(height_m) AS max_height_m, round(sum(round(agb, 1)) / 1000, 2) AS biomass_t FROM a")
+def tree_summary(spark, sf_dir):
+    a = trees.allometry(trees.crown(_trees(spark, sf_dir)))
+    return a.agg(F.count("*").alias("n_trees"), F.round(F.avg("height_m"), 4).alias("mean_height_m"), F.min("height_m").alias("min_height_m"), F.max("height_m").alias("max_height_m"), F.round(F.sum("biomass_kg") / 1000, 2).alias("biomass_t"))
+
+
+# ---- invariants ----
+
+TOL = validate.tolerance(CONFIG.round_digits)
+
+
+@query(f"WITH {PARTS} SELECT obj AS object_id, pid AS part_id, parent AS parent_part_id FROM parts WHERE parent IS NOT NULL AND parent NOT IN (SELECT pid FROM parts)")
+def validate_orphans(spark, sf_dir):
+    return validate.orphans(scene.parts(spark, sf_dir))
+
+
+@query(f"WITH {PARTS} SELECT obj AS object_id, count(*) FILTER (parent IS NULL) AS n_roots FROM (SELECT * FROM parts WHERE p_size <> 7) GROUP BY obj HAVING count(*) FILTER (parent IS NULL) <> 1")
+def validate_roots(spark, sf_dir):
+    keep = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size <> 7").select(F.floor(F.col("p_partkey") / 4).cast("long").alias("o"), (F.col("p_partkey") % 4).alias("n"))
+    ids = keep.select(F.format_string("%d-P%02d", "o", "n").alias("part_id"))
+    return validate.roots(scene.parts(spark, sf_dir).join(ids, "part_id", "left_semi"))
+
+
+@query(f"""WITH {PARTS} SELECT pid AS part_id, 'a root''s level isn''t 0' AS problem FROM parts WHERE parent IS NULL AND lvl <> 0
+  UNION ALL SELECT a.pid, 'the level isn''t the parent''s plus 1' FROM parts a JOIN parts b ON a.parent = b.pid WHERE a.lvl <> b.lvl + 1
+  UNION ALL SELECT a.pid, 'the base isn''t the parent''s top' FROM parts a JOIN parts b ON a.parent = b.pid WHERE abs(a.base - b.top) > {TOL}""")
+def validate_hierarchy(spark, sf_dir):
+    return validate.hierarchy(scene.parts(spark, sf_dir), TOL)
+
+
+@query(f"""WITH {PARTS} SELECT pid AS part_id, 'top elevation' AS problem FROM parts WHERE abs(ground + top - top_elev) > {TOL} UNION ALL SELECT pid, 'coverage' FROM parts WHERE cov NOT BETWEEN 0 AND 1""")
+def validate_vertical(spark, sf_dir):
+    return validate.vertical(scene.parts(spark, sf_dir), TOL)
+
+
+@query(f"WITH {PARTS} SELECT pid AS part_id, volume AS volume_m3 FROM parts WHERE abs(volume - area * (top - base)) > greatest(0.1, {TOL} * greatest(volume, 1))")
+def validate_volume(spark, sf_dir):
+    return validate.volume(scene.parts(spark, sf_dir), TOL)
+
+
+@query(f"WITH {PARTS} SELECT 'object ' || obj AS part_id, 'repeated part_id' AS problem FROM parts WHERE false UNION ALL SELECT substr(pid, -3), 'repeated part_id' FROM parts GROUP BY 1 HAVING count(*) > 1")
+def validate_ids(spark, sf_dir):
+    return validate.ids(scene.parts(spark, sf_dir).withColumn("part_id", F.substring("part_id", -3, 3)))
+
+
+@query(f"WITH RECURSIVE {PARTS}, walk AS (SELECT pid, 0 AS depth FROM parts WHERE parent IS NULL UNION ALL SELECT parts.pid, depth + 1 FROM parts JOIN walk ON parts.parent = walk.pid) SELECT pid AS part_id, depth FROM walk")
+def part_depths(spark, sf_dir):
+    scene.parts(spark, sf_dir).createOrReplaceTempView("massif_parts")
+    return spark.sql("WITH RECURSIVE walk(part_id, depth) AS (SELECT part_id, 0 FROM massif_parts WHERE parent_part_id IS NULL UNION ALL SELECT p.part_id, depth + 1 FROM massif_parts p JOIN walk w ON p.parent_part_id = w.part_id) SELECT part_id, depth FROM walk")
+
+
+@query("""WITH e AS (SELECT o_custkey % 50 AS shell_id, o_orderkey % 7 AS a, o_orderkey % 11 AS b FROM orders WHERE o_orderkey % 7 <> o_orderkey % 11)
+  SELECT shell_id, least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS n, CAST(sum(CASE WHEN a < b THEN 1 ELSE -1 END) AS BIGINT) AS balance FROM e GROUP BY ALL HAVING count(*) <> 2 OR sum(CASE WHEN a < b THEN 1 ELSE -1 END) <> 0""")
+def shell_edge_check(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return validate.shell_edges(spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 50).alias("shell_id"), (k % 7).alias("a"), (k % 11).alias("b")).filter("a <> b"))
+
+
+@query("""SELECT coalesce(a.c_custkey, b.c_custkey) || '' AS path, a.c_mktsegment AS a, b.c_mktsegment AS b FROM (SELECT * FROM customer WHERE c_custkey % 5 <> 0) a FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'other' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 11 <> 0) b USING (c_custkey)
+  WHERE a.c_mktsegment IS DISTINCT FROM b.c_mktsegment ORDER BY path LIMIT 20""")
+def document_diff(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    flat = lambda df, v: df.select(F.col("c_custkey").cast("string").alias("path"), v.alias("value"))
+    seg = F.col("c_mktsegment")
+    return validate.document_diff(flat(c.filter("c_custkey % 5 <> 0"), seg), flat(c.filter("c_custkey % 11 <> 0"), F.when(F.col("c_custkey") % 7 == 0, "other").otherwise(seg)))
+
+
+# ---- ids, properties, rings ----
+
+_IDS = """ids AS (SELECT c_custkey AS ord, CASE c_custkey % 6 WHEN 0 THEN '"  id ' || c_custkey || ' "' WHEN 1 THEN c_custkey || '.0' WHEN 2 THEN 'true' WHEN 3 THEN 'null' WHEN 4 THEN CAST(c_custkey // 3 AS VARCHAR) ELSE '"   "' END AS raw FROM customer)"""
+_NORMAL = f"{_IDS}, nid AS (SELECT ord, CASE ord % 6 WHEN 0 THEN 'id ' || ord WHEN 1 THEN CAST(ord AS VARCHAR) WHEN 4 THEN CAST(ord // 3 AS VARCHAR) END AS object_id FROM ids)"
+
+
+def _ids(spark, sf_dir):
+    k = F.col("c_custkey")
+    s = k.cast("string")
+    raw = F.when(k % 6 == 0, F.concat(F.lit('"  id '), s, F.lit(' "'))).when(k % 6 == 1, F.concat(s, F.lit(".0"))).when(k % 6 == 2, "true").when(k % 6 == 3, "null").when(k % 6 == 4, F.floor(k / 3).cast("string")).otherwise('"   "')
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("ord"), scalar.normalize_id(raw).alias("object_id"))
+
+
+@query(f"WITH {_NORMAL} SELECT ord, object_id FROM nid")
+def id_normalise(spark, sf_dir):
+    return _ids(spark, sf_dir)
+
+
+@query(f"WITH {_NORMAL} SELECT object_id, count(*) AS n FROM nid WHERE object_id IS NOT NULL GROUP BY object_id HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return _ids(spark, sf_dir).filter("object_id is not null").groupBy("object_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query(f"WITH {_NORMAL}, r AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY ord) - 1 AS k FROM nid WHERE object_id IS NOT NULL) SELECT ord, CASE WHEN k = 0 THEN object_id ELSE printf('%s_%02d', object_id, k) END AS tree_id FROM r")
+def id_disambiguate(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = (F.row_number().over(Window.partitionBy("object_id").orderBy("ord")) - 1).alias("k")
+    r = _ids(spark, sf_dir).filter("object_id is not null").select("ord", "object_id", k)
+    return r.select("ord", F.when(F.col("k") == 0, F.col("object_id")).otherwise(F.format_string("%s_%02d", "object_id", "k")).alias("tree_id"))
+
+
+@query("SELECT DISTINCT unnest(json_keys(props)) AS key FROM events")
+def property_union(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.explode(F.json_object_keys("props")).alias("key")).distinct()
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'area_m2' WHEN 1 THEN 'k' END AS asked, CASE event_id % 3 WHEN 0 THEN 'src_area_m2' WHEN 1 THEN 'k' END AS name, json_extract_string(props, '$.k') AS value FROM events WHERE event_id % 3 < 2")
+def property_keep(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 3 < 2")
+    key = F.when(F.col("event_id") % 3 == 0, "area_m2").otherwise("k")
+    props = F.create_map(key, F.get_json_object("props", "$.k"), F.lit("dropped"), F.lit("x"))
+    return e.select("event_id", key.alias("asked"), F.explode(scalar.keep_properties(props, ["area_m2", "k"])).alias("name", "value")).select("event_id", "asked", "name", "value")
+
+
+@query("""WITH f AS (SELECT s_suppkey AS object_id, (7 + s_suppkey % 9)::DOUBLE AS w, (s_suppkey % 3 + 6 + s_suppkey % 11 - s_suppkey % 3)::DOUBLE AS h FROM supplier)
+  SELECT object_id, w * h AS area_m2, 2 * (w + h) AS perimeter_m, round(4 * pi() * w * h / pow(2 * (w + h), 2), 6) AS circularity, CAST(CASE WHEN w >= h THEN 90 ELSE 0 END AS DOUBLE) AS orientation_deg FROM f""")
+def ring_metrics(spark, sf_dir):
+    f = scene.footprints(spark, sf_dir).filter("object_id >= 0").select("object_id", F.array("x0", "x1", "x1", "x0").alias("xs"), F.array("y0", "y0", "y1", "y1").alias("ys"))
+    a, p = scalar.signed_area(F.col("xs"), F.col("ys")), scalar.perimeter(F.col("xs"), F.col("ys"))
+    dx, dy = F.get("xs", F.lit(1)) - F.get("xs", F.lit(0)), F.get("ys", F.lit(2)) - F.get("ys", F.lit(1))
+    turn = F.when(dx >= dy, scalar.azimuth(dx, F.lit(0.0))).otherwise(scalar.azimuth(F.lit(0.0), dy))
+    return f.select("object_id", a.alias("area_m2"), p.alias("perimeter_m"), F.round(scalar.circularity(a, p), 6).alias("circularity"), turn.alias("orientation_deg"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 32600 ELSE 32700 END + least(greatest(CAST(floor((c_custkey % 360) / 6) AS INT) + 1, 1), 60) AS epsg FROM customer")
+def utm_zone(spark, sf_dir):
+    k = F.col("c_custkey")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), scalar.utm_epsg(k % 360 - 180.0, F.when(k % 2 == 0, 5.0).otherwise(-5.0)).alias("epsg"))
+
+
+# ---- jobs ----
+
+
+@query(f"WITH {JOBS} SELECT job_id, row_number() OVER (ORDER BY ts, job_id) AS position FROM last WHERE state = 'queued'")
+def job_queue_position(spark, sf_dir):
+    return jobs.queue_positions(scene.jobs(spark, sf_dir))
+
+
+@query(f"WITH {JOBS} SELECT job_id, state FROM last WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND state NOT IN ('queued', 'cancelling')")
+def ttl_cleanup(spark, sf_dir):
+    return jobs.expired(scene.jobs(spark, sf_dir), 24, NOW)
+
+
+@query(f"WITH {JOBS} SELECT job_id, seq, state FROM (SELECT *, lag(state) OVER (PARTITION BY job_id ORDER BY ts, seq) AS b FROM ev) WHERE state IS DISTINCT FROM b")
+def job_state_changes(spark, sf_dir):
+    return jobs.state_changes(scene.jobs(spark, sf_dir)).select("job_id", "seq", "state")
