@@ -169,9 +169,20 @@ def learn(docs: DataFrame, modulus: int = 5, sample: int = SAMPLE) -> Model:
             got = [counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([n for _, n in got], pa.list_(pa.int64()))], names=["lang", "idx", "n"])
 
-    rows = own.filter(picked).select("lang", "text").mapInArrow(count, "lang string, idx array<int>, n array<bigint>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["lang"], zlib.crc32(np.array(r["idx"] + r["n"]).tobytes())))  # whatever order the tasks ended in
-    return train([(r["lang"], np.array(r["idx"], np.int32), np.array(r["n"], float)) for r in rows])
+    got = own.filter(picked).select("lang", "text").mapInArrow(count, "lang string, idx array<int>, n array<bigint>").toArrow().combine_chunks()
+    langs = got["lang"].to_pylist()
+
+    def lists(name, kind):  # without a Python object for each number
+        column = got[name].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        edges, flat = column.offsets.to_numpy(), column.values.to_numpy().astype(kind)
+        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    if not langs:
+        return train([])
+    rows = list(zip(langs, lists("idx", np.int32), lists("n", np.float32), strict=True))
+    rows.sort(key=lambda r: (r[0], zlib.crc32(r[1].tobytes() + r[2].tobytes())))  # whatever order the tasks ended in
+    return train(rows)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
