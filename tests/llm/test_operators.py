@@ -252,6 +252,17 @@ def test_lm_scores(spark, odd):
             assert r.held_out == (i is None or zlib.crc32(str(i).encode()) % 10 == 0)
 
 
+def test_lm_score_is_that_of_one_trie(spark, monkeypatch):
+    rows = [*((i, t) for i, t in ODD if i is not None), *((100 + i, prose(i, 30) + " zq" * (i % 4)) for i in range(40)), (900, None)]
+    texts = [ppm.lowered(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    keys, n = np.unique(np.concatenate([ppm.windows(p) for t in texts for p in ppm.pieces(t)]), return_counts=True)
+    trie = ppm.Trie(keys, n, *ppm.summed(keys & np.uint64((1 << 8 * ppm.ORDER) - 1), n))
+    want = sorted(trie.score([ppm.lowered(t) for _, t in rows]))
+    for nodes, piece in ((ppm.NODES, 1 << 20), (50, 100), (0, 1)):
+        monkeypatch.setattr(ppm, "PIECE", piece)
+        assert sorted(r.score for r in ppm.score(table(spark, rows), nodes=nodes).collect()) == pytest.approx(want, rel=1e-5)
+
+
 # ---- 7 ----
 
 
