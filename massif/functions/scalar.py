@@ -85,3 +85,8 @@ def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
         east = east + k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500000 + 0.9996 * radius * east, F.when(lat < 0, 10000000.0).otherwise(0.0) + 0.9996 * radius * north
+
+
+def names_of(text: str) -> list[str]:
+    """The names in a list with commas, trimmed, blanks left out, each once."""
+    return list(dict.fromkeys(n.strip() for n in text.split(",") if n.strip()))

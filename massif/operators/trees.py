@@ -1,9 +1,14 @@
-"""Tree canopies: profiles, rejection, cleaning, allometry and tiers, as column expressions."""
+"""Tree canopies: profiles, rejection, cleaning, allometry and tiers as column expressions, single trees by a window kernel."""
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massif.config import EngineConfig
+from massif.operators import raster
 from massif.operators.zonal import clipped
 
 OUTLIER = (-20.0, 2000.0)
@@ -79,3 +84,77 @@ def tiers(trees: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     top = F.when(F.col("tier") == F.col("n_tiers") - 1, F.round("height_m", 2)).otherwise(edge(F.col("tier") + 1))
     t = t.withColumns({"base_m": edge(F.col("tier")), "top_m": top})
     return t.filter(F.col("top_m") - F.col("base_m") > 0.05).select("tree_id", "tier", "base_m", "top_m")
+
+
+def _saddle(smooth: np.ndarray, a: tuple[int, int], b: tuple[int, int]) -> float:
+    """The lowest smoothed height on the line between two pixels."""
+    n = max(int(math.hypot(a[0] - b[0], a[1] - b[1])), 2)
+    rows, cols = (np.rint(np.linspace(p, q, n)).astype(int) for p, q in zip(a, b, strict=True))
+    return float(smooth[rows, cols].min())
+
+
+def peaks(h: np.ndarray, inside: np.ndarray, apex: float, pixel: float, c: EngineConfig) -> list[tuple[float, int, int]]:
+    """(height, row, col) of the tops in a canopy's window, highest first, without branches of higher ones.
+
+    A top is a branch if a higher one within 12 m is joined to it by a saddle less than 1.2 m, or less than
+    18 % of its height, below it.
+    """
+    z = np.where(inside & np.isfinite(h), h, 0.0)
+    smooth = raster.gaussian(z)
+    size = max(3, round(max(2.5, min(c.itd_min_distance_m, 0.32 * apex)) / pixel))
+    reach = (size + (size % 2 == 0)) // 2
+    p = np.pad(smooth, reach, mode="symmetric")
+    top = np.lib.stride_tricks.sliding_window_view(p, (2 * reach + 1, 2 * reach + 1)).max(axis=(2, 3))
+    plateaus, n = raster.label((smooth == top) & (smooth > 0) & inside & (smooth >= c.min_tree_height))
+    found = []
+    for k in range(1, n + 1):
+        r, q = np.unravel_index(int(np.argmax(np.where(plateaus == k, z, -1.0))), z.shape)
+        found.append((min(max(float(z[r, q]), c.min_tree_height), apex), int(r), int(q)))
+    kept: list[tuple[float, int, int]] = []
+    for top_h, r, q in sorted(found, key=lambda x: -x[0]):
+        for _, a, b in kept:
+            if math.hypot(r - a, q - b) * pixel <= 12.0:
+                low = min(smooth[r, q], smooth[a, b])
+                drop = low - _saddle(smooth, (r, q), (a, b))
+                if drop < 1.2 or drop < 0.18 * low:
+                    break
+        else:
+            kept.append((top_h, r, q))
+    return kept
+
+
+def detect(pixels: DataFrame, apexes: DataFrame, config: EngineConfig | None = None, pixel: float = 1.0) -> DataFrame:
+    """object_id, tree_id, row, col, height_m, area_m2, n_peaks: the trees of each canopy.
+
+    Canopies of ``cluster_min_area_m2`` and more with two or more tops are divided by a flood from the tops;
+    basins under 1 square metre are dropped.  Others, and all without a basin left, are one tree.  A grouped
+    map over one canopy's window; ``apexes`` (object_id, apex_m) holds one row a canopy.
+    """
+    c = config or EngineConfig()
+    schema = "object_id long, tree_id string, row int, col int, height_m double, area_m2 double, n_peaks int"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        r, k = rows["row"].to_numpy() - rows["row"].min(), rows["col"].to_numpy() - rows["col"].min()
+        h, inside = np.full((r.max() + 1, k.max() + 1), np.nan), np.zeros((r.max() + 1, k.max() + 1), bool)
+        h[r, k], inside[r, k] = np.clip(rows["dsm"].to_numpy(float) - rows["dtm"].to_numpy(float), 0, 100), True
+        apex, oid, area = float(rows["apex_m"].iloc[0]), int(rows["object_id"].iloc[0]), float(inside.sum()) * pixel**2
+        tops = peaks(h, inside, apex, pixel, c) if c.split_clusters and area >= c.cluster_min_area_m2 and math.isfinite(apex) else []
+        out = []
+        if len(tops) > 1:
+            z = np.where(inside & np.isfinite(h), h, 0.0)
+            smooth, markers = raster.gaussian(z), np.zeros(h.shape, np.int64)
+            for i, (_, a, b) in enumerate(tops, 1):
+                markers[a, b] = i
+            basins = raster.watershed(np.clip((smooth.max() - smooth) * 1000, 0, 65535).astype(np.uint16).astype(np.int64), markers, inside)
+            for i, (height, a, b) in enumerate(tops, 1):
+                own = float((basins == i).sum()) * pixel**2
+                if own >= 1.0:
+                    out.append((oid, f"{oid}_T{len(out) + 1:02d}", a, b, height, own))
+        if not out:
+            z = np.where(inside & np.isfinite(h), h, -1.0)
+            a, b = np.unravel_index(int(np.argmax(z)), z.shape)
+            out = [(oid, f"{oid}_T01", int(a), int(b), max(apex, c.min_tree_height), area)]
+        low, left = int(rows["row"].min()), int(rows["col"].min())
+        return pd.DataFrame([(o, t, a + low, b + left, height, own, len(tops)) for o, t, a, b, height, own in out], columns=[x.split()[0] for x in schema.split(", ")])
+
+    return pixels.join(apexes, "object_id").groupBy("object_id").applyInPandas(run, schema)

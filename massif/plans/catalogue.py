@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massif.config import EngineConfig
-from massif.functions import scalar
+from massif.functions import scalar, shape_columns
 from massif.operators import cluster, hierarchy, raster, trees, validate, zonal
-from massif.sources import scene
+from massif.sources import exports, scene
 from massif.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,3 +407,38 @@ def ttl_cleanup(spark, sf_dir):
 @query(f"WITH {JOBS} SELECT job_id, seq, state FROM (SELECT *, lag(state) OVER (PARTITION BY job_id ORDER BY ts, seq) AS b FROM ev) WHERE state IS DISTINCT FROM b")
 def job_state_changes(spark, sf_dir):
     return jobs.state_changes(scene.jobs(spark, sf_dir)).select("job_id", "seq", "state")
+
+
+# ---- single trees, outlines, shapes and meshes ----
+
+
+@query()
+def individual_trees(spark, sf_dir):
+    px = scene.towers(spark, sf_dir)
+    return trees.detect(px, trees.clean_apex(px, trees.canopy_profile(px)))
+
+
+@query()
+def part_outlines(spark, sf_dir):
+    return hierarchy.outlines(scene.towers(spark, sf_dir)).select("object_id", "part_id", "area_m2", "rings")
+
+
+_BOXES = """bx AS (SELECT p_partkey AS object_id, CAST(p_partkey % 5 AS DOUBLE) AS x0, CAST(p_partkey % 3 AS DOUBLE) AS y0, CAST(7 + p_size % 9 AS DOUBLE) AS w, CAST(6 + p_partkey % 11 AS DOUBLE) AS h, CAST(p_size + 1 AS DOUBLE) AS z FROM part)"""
+
+
+def _boxes(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    x0, y0 = (p.p_partkey % 5).cast("double"), (p.p_partkey % 3).cast("double")
+    x1, y1 = x0 + (7 + p.p_size % 9), y0 + (6 + p.p_partkey % 11)
+    ring = F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1))
+    return p.select(p.p_partkey.alias("object_id"), F.format_string("%d-P00", p.p_partkey).alias("part_id"), F.array(ring).alias("rings"), F.lit(10.0).alias("base_elevation_m"), (F.lit(11.0) + p.p_size).alias("top_elevation_m"))
+
+
+@query(f"WITH {_BOXES} SELECT object_id, greatest(w, h) AS length_m, least(w, h) AS width_m, CAST(CASE WHEN w >= h THEN 90 ELSE 0 END AS DOUBLE) AS azimuth_deg, round(sqrt(w * w + h * h) / 2, 6) AS circle_radius_m FROM bx")
+def shape_metrics(spark, sf_dir):
+    return _round(shape_columns.shape_metrics(_boxes(spark, sf_dir)))
+
+
+@query(f"WITH {_BOXES} SELECT CAST(object_id AS VARCHAR) AS object_id, printf('%d-P00', object_id) AS part_id, CAST(12 AS BIGINT) AS n_triangles, CAST(1 AS BIGINT) AS n_shells, round(2 * w * h + 2 * (w + h) * z, 6) AS surface_m2, round(w * h * z, 6) AS volume_m3, CAST(NULL AS VARCHAR) AS problem FROM bx")
+def prism_meshes(spark, sf_dir):
+    return _round(exports.meshes(_boxes(spark, sf_dir)))
