@@ -108,7 +108,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, ts: str |
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"), (F.col(ts).cast("timestamp") if ts else F.lit(None).cast("timestamp")).alias("ts"))
     base = base.withColumn("sha", F.sha1("payload"))
     best = base.filter(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).filter("n > 1").select("sha", "newest")
-    rows = base.join(best, "sha", "left").select("page_id", "url", "payload", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.when(F.coalesce(F.col("page_id") < F.col("newest"), F.col("page_id").isNull() & F.col("newest").isNotNull()), F.col("newest")).alias("refers_to"))
+    # a hash join, built from the digests that repeat, so that payloads are never sorted
+    rows = base.join(best.hint("shuffle_hash"), "sha", "left").select("page_id", "url", "payload", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.when(F.coalesce(F.col("page_id") < F.col("newest"), F.col("page_id").isNull() & F.col("newest").isNotNull()), F.col("newest")).alias("refers_to"))
 
     def run(batches):
         system, path = _target(folder)
