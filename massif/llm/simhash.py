@@ -176,7 +176,11 @@ def components(docs: DataFrame, k: int = SHINGLE, tau: int = TAU) -> DataFrame:
 
 def deduplicate(docs: DataFrame, k: int = SHINGLE, tau: int = TAU) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with its columns; rows without doc_id stay."""
-    found = cut(components(docs, k, tau))
+    return keep_first(docs, cut(components(docs, k, tau)))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents without those whose component (``found``: doc_id, component_id) has a smaller doc_id."""
     drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
     kept = docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from massif.llm import decontam, langid, licenses, packing, ppm, quality, sharding, simhash, toxicity, warc
+from massif.llm import copies, decontam, langid, licenses, packing, ppm, quality, sharding, simhash, toxicity, warc
 from massif.llm import queries as q
 from massif.llm.common import share_code
 
@@ -413,6 +413,46 @@ def test_thresholds_satisfy_the_principle():
     assert all(a & b == 0 for i, a in enumerate(used) for b in used[:i])
 
 
+def plain_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def edited(r, text, share):
+    return " ".join(r.choice(WORDS) if r.random() < share else w for w in text.split())
+
+
+def test_near_copies_equal_brute_force(spark):
+    r = random.Random(8)
+    line = prose(999, 40)
+    rows = list(ODD) + [(100 + i, f"{line} {prose(i, r.randrange(5, 300))}") for i in range(60)]
+    for k in range(25):  # copies of copies, about 0.7 to 1 alike
+        text = prose(500 + k, 100 + 10 * k)
+        rows += [(1000 + 10 * k + j, edited(r, text, share)) for j, share in enumerate((0, 0.005, 0.01, 0.02, 0.03, 0.04))]
+    hot = prose(77, 150)
+    rows += [(2000 + i, edited(r, hot, 0.01 if i % 2 else 0.03)) for i in range(60)] + [(3000 + i, hot) for i in range(20)]
+    sets = {}
+    for i, t in rows:
+        if i is not None:
+            sets.setdefault(i, plain_set(t))
+    want = roots(sorted(sets), lambda a, b: similar(sets[a], sets[b]))
+    near = sum(similar(sets[a], sets[b]) and sets[a] != sets[b] for a in sets for b in sets if a < b)
+    prints = {i: plain_fingerprint(t) for i, t in rows if i is not None and 1000 <= i < 1250}
+    wide = sum((prints[a] ^ prints[b]).bit_count() > 2 for a in prints for b in prints if a < b and similar(sets[a], sets[b]))
+    assert near > 100 and wide > 20
+    docs = table(spark, rows)
+    got = {x.doc_id: x.component_id for x in copies.components(docs, cell=2).collect() if x.doc_id is not None}
+    assert got == want
+    kept = q.stage_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(x.doc_id for x in kept.filter("doc_id is not null").collect()) == sorted(set(want.values()))
+    assert copies.deduplicate(docs.limit(0)).count() == 0
+
+
 # ---- pipeline ----
 
 
