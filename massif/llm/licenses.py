@@ -55,11 +55,11 @@ def words(text: str) -> list[str]:
 
 
 def hitting_words(template: str, k: int) -> set[str]:
-    """Long words that over 1 - CONTAINMENT of the template's k-word shingles hold, so that every match has one."""
+    """Long words such that the k-word shingles without any of them are less than CONTAINMENT of the template, so that every match has one."""
     own, out, bare = words(template), set(), set()
     shingles = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
     for word in sorted(set(own), key=lambda w: (-len(w), w)):
-        if len(shingles - bare) and len(bare) <= (1 - CONTAINMENT) * len(shingles):
+        if len(shingles - bare) / len(shingles) >= CONTAINMENT:  # as matches are compared
             new = {s for s in shingles - bare if word in s}
             if new:
                 out.add(word)

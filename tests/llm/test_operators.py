@@ -276,6 +276,12 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, rows), {}).count() == 0
 
 
+def test_a_license_match_at_the_threshold_passes_the_filter(spark):
+    text = licenses.TEMPLATES["MIT-grant"].replace("restriction", "limits").replace("associated documentation", "related manual")
+    got = {(r.doc_id, r.license_id): r.containment for r in licenses.scan(table(spark, [(1, text)])).collect()}
+    assert got == {(1, "MIT-grant"): 0.8}
+
+
 # ---- 8 ----
 
 
