@@ -64,7 +64,13 @@ def assign(docs: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
 
     shard_id is the bucket's bits; where one key alone is too large, with the parts' numbers behind.
     """
-    rows = docs.select("doc_id", key_of(F.col("doc_id")).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("mark"))
+    return _placed(docs, limit, step, False).select("doc_id", "shard_id", F.col("depth").cast("int").alias("depth"), "n_bytes", "shard_bytes")
+
+
+def _placed(docs: DataFrame, limit: int, step: int, keep: bool) -> DataFrame:
+    """The same, with all of a row's columns in ``row`` if ``keep`` is set."""
+    kept = ["row"] if keep else []
+    rows = docs.select(*([F.struct(*docs.columns).alias("row")] if keep else []), "doc_id", key_of(F.col("doc_id")).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("mark"))
     rows = cut(rows)
     buckets = directory(rows.select("key", "bytes"), limit, step)
     depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())  # at most 61
@@ -73,13 +79,13 @@ def assign(docs: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
         own = buckets.filter(F.col("depth") == depth).withColumnRenamed("bytes", "bucket_bytes")
         got = rows.join(own, _prefix(F.col("key"), depth) == own["prefix"])
         name = F.concat(F.lit("b"), F.lpad(F.bin("prefix"), depth, "0")) if depth else F.lit("b")
-        out_part = got.select("doc_id", name.alias("shard_id"), "depth", F.col("bytes").alias("n_bytes"), F.col("bucket_bytes").alias("shard_bytes"), "mark")
+        out_part = got.select("doc_id", name.alias("shard_id"), "depth", F.col("bytes").alias("n_bytes"), F.col("bucket_bytes").alias("shard_bytes"), "mark", *kept)
         out = out_part if out is None else out.unionByName(out_part)
     if out is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shard_id string, depth int, n_bytes long, shard_bytes long")
+        return rows.select("doc_id", F.lit("b").alias("shard_id"), F.lit(0).alias("depth"), F.col("bytes").alias("n_bytes"), F.col("bytes").alias("shard_bytes"), *kept)
     if LAST_BIT in depths and buckets.filter((F.col("depth") == LAST_BIT) & (F.col("bytes") > limit)).limit(1).count():
         out = _deal(out, limit)
-    return out.select("doc_id", "shard_id", F.col("depth").cast("int").alias("depth"), "n_bytes", "shard_bytes")
+    return out
 
 
 def _deal(rows: DataFrame, limit: int) -> DataFrame:
@@ -99,5 +105,4 @@ def _deal(rows: DataFrame, limit: int) -> DataFrame:
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Write the documents with their columns as Parquet, one folder for each shard."""
-    ids = assign(docs, limit).groupBy("doc_id").agg(F.min("shard_id").alias("shard_id"))
-    docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).drop(ids["doc_id"]).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    _placed(docs, limit, STEP, True).select("row.*", "shard_id").repartition("shard_id").write.partitionBy("shard_id").parquet(path)

@@ -145,6 +145,16 @@ def test_shards_fit_and_only_large_buckets_split(spark):
         assert not s or sum(v for k, v in size.items() if k[1:].startswith(s[:-1])) > 2000
 
 
+def test_written_shards_of_hot_and_null_ids_fit(spark, tmp_path):
+    rows = [(i, "x" * 100) for i in range(60)] + [(7, f"{k:03d}" + "y" * 297) for k in range(30)] + [(None, f"{k:03d}" + "z" * 197) for k in range(30)]
+    docs = table(spark, rows)
+    sharding.write(docs, str(tmp_path / "shards"), 2000)
+    got = spark.read.parquet(str(tmp_path / "shards"))
+    assert set(got.columns) == {*docs.columns, "shard_id"}
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(rows)
+    assert all(r.n <= 2000 for r in got.groupBy("shard_id").agg(F.sum(F.length("text")).alias("n")).collect())
+
+
 # ---- 4 ----
 
 
