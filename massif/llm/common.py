@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import zipfile
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,30 +15,56 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one input table and let Python workers import this package from where the driver has it."""
+    """Read one input table, with this package at hand for Python workers."""
     share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _local(spark: SparkSession) -> bool:
+    """Whether driver and workers are one machine's processes."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def share_code(spark: SparkSession) -> None:
-    """Put the folder that holds the package on the Python path of workers started for this session."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    """Let Python workers import this package: from the driver's folder if that is theirs too, else from a zip that Spark sends them."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    paths = [p for p in sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if str(root) in paths or getattr(sc, "_massif_code", False):
+        return
+    if _local(spark):
+        sc.environment["PYTHONPATH"] = os.pathsep.join([str(root), *paths])
+        return
+    with tempfile.TemporaryDirectory() as folder:  # addPyFile copies it to Spark's own file server
+        name = f"{folder}/massif-code.zip"
+        with zipfile.ZipFile(name, "w") as out:
+            for f in sorted((root / "massif").rglob("*.py")):
+                out.write(f, f.relative_to(root))
+        sc.addPyFile(name)
+    sc._massif_code = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The cluster's checkpoint folder; a temporary one only on a single machine whose session names none (tests)."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    where = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="massif-checkpoint-")
+    where = sc.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not _local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="massif-checkpoint-")
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a replicated, shared checkpoint."""
     shared_dir(df.sparkSession)
@@ -78,9 +105,10 @@ def with_arrow(df: DataFrame, reads: list[str], adds: T.StructType, fn) -> DataF
 
     ``fn(batches)`` takes an iterator of tuples of Python lists, one list for each column of
     ``reads``, and yields for each a list of Arrow arrays in the order of ``adds``.
-    Added columns replace input columns of the same name.
+    Added columns replace input columns of the same name, in whatever case.
     """
-    keep = [c for c in df.columns if c not in adds.fieldNames()]
+    new = {c.lower() for c in adds.fieldNames()}
+    keep = [c for c in df.columns if c.lower() not in new]
     at = [df.columns.index(c) for c in reads]
     kept_at = [df.columns.index(c) for c in keep]
     schema = T.StructType([df.schema[c] for c in keep] + list(adds.fields))

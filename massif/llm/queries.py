@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from massif.llm import copies, decontam, langid, licenses, packing, ppm, quality, sharding, simhash, toxicity, warc
 from massif.llm.common import table
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER, SMALL_SHARD = public_tokenizers.path("byte_bpe_50k.json"), 50_000
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def shard_buckets_50kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 with a limit that splits small tables, and single texts above it."""
+    return sharding.buckets(table(spark, sf_dir, "documents"), SMALL_SHARD)
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -53,18 +58,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_language_id, op3_extendible_shards, op4_warc_round_trip, op5_decontamination, op6_lm_score, op7_license_scan, op8_packing, op9_toxicity, op10_simhash)
+    own = (op1_quality_rules, op2_language_id, op3_extendible_shards, shard_buckets_50kb, op4_warc_round_trip, op5_decontamination, op6_lm_score, op7_license_scan, op8_packing, op9_toxicity, op10_simhash)
     return {f.__name__: f for f in own}
 
 
 def _quality_sql() -> str:
-    rates = ", ".join(f"('{r}', {least})" for r, least in quality.RATES.items())
+    unit, names = quality.UNIT, (*quality.RATES, *quality.LENGTHS)
     bucket = "CASE WHEN v < 64 THEN v ELSE 64 * (length(bin(v)) - 7) + (v >> (length(bin(v)) - 7)) END"
     floor = "CASE WHEN bucket < 64 THEN bucket ELSE (64 + bucket % 64) << CAST(bucket // 64 - 1 AS INT) END"
-    level = lambda by: f"""SELECT {by} rate, max(total) AS total, min(CASE WHEN 10 * upto >= total THEN {floor} END) AS q10, min(CASE WHEN 2 * upto >= total THEN {floor} END) AS q50
-      FROM (SELECT *, sum(n) OVER (PARTITION BY {by} rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by} rate) AS total
-            FROM (SELECT {by} rate, bucket, sum(n) AS n FROM sk GROUP BY {by} rate, bucket)) GROUP BY {by} rate"""
-    fence = lambda t: f"{t}.q50 + {quality.REACH} * greatest({t}.q50 - {t}.q10, least)"
+    # the group's median and 80th percentile of each name, its fences, and its typical lengths
+    level = lambda by: f"""SELECT {by} max(total) AS total, {", ".join(f"min(CASE WHEN name = '{x}' AND 2 * upto >= total THEN {floor} END) AS mid_{x}" for x in names)}, {", ".join(f"min(CASE WHEN name = '{r}' AND 5 * upto >= 4 * total THEN {floor} END) AS high_{r}" for r in quality.RATES)}
+      FROM (SELECT *, sum(n) OVER (PARTITION BY {by} name ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by} name) AS total
+            FROM (SELECT {by} name, bucket, sum(n) AS n FROM sk GROUP BY {by} name, bucket)) {"GROUP BY " + by.rstrip(", ") if by else ""}"""
+    step = lambda t, r, d, one: f"{t}.mid_{r} // greatest(1, CAST(floor(sqrt({t}.mid_{d})) AS BIGINT))" if one is None else f"{unit * one} // greatest(1, {t}.mid_{d})"
+    fence = lambda t, r: f"{t}.mid_{r} + {quality.REACH} * greatest({t}.high_{r} - {t}.mid_{r}, {step(t, r, *quality.RATES[r][1:])})"
+    pick = lambda f: f"CAST(CASE WHEN g2.total >= {quality.MIN_GROUP} THEN {f('g2')} WHEN g1.total >= {quality.MIN_GROUP} THEN {f('g1')} ELSE {f('g0')} END AS BIGINT)"
+    limits = ", ".join([f"{pick(lambda t: fence(t, r))} AS max_{r}" for r in quality.RATES] + [f"{pick(lambda t: f'{t}.mid_{x}')} AS typical_{x}" for x in quality.LENGTHS])
+    fits = " AND ".join(f"{unit} * {c} <= max_{r} * {f'greatest({d}, typical_{d})' if one else d}" for r, (c, d, one) in quality.RATES.items())
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rn, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
     w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
@@ -77,33 +87,27 @@ def _quality_sql() -> str:
                  CAST(length(t) - length(regexp_replace(t, '[A-Z!]', '', 'g')) AS BIGINT) AS n_shout, len(ls) AS n_lines,
                  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
           FROM w LEFT JOIN rep ON rep.rn = w.rn),
-    r AS (SELECT *, CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_rate,
-                 CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
-                 CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate,
-                 CASE WHEN word_chars > 0 THEN 1000 * n_shout // word_chars ELSE 0 END AS shout_rate,
-                 CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_len,
+    r AS (SELECT *, {", ".join(f"CAST(CASE WHEN {d} > 0 THEN {unit} * {c} // {d} ELSE 0 END AS BIGINT) AS {r}" for r, (c, d, _) in quality.RATES.items())},
                  n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM f),
-    l AS (UNPIVOT (SELECT rn, lang, source, {", ".join(f"CAST({r} AS BIGINT) AS {r}" for r in quality.RATES)} FROM r) ON {", ".join(quality.RATES)} INTO NAME rate VALUE v),
-    sk AS (SELECT lang, source, rate, CAST({bucket} AS BIGINT) AS bucket, count(*) AS n FROM l GROUP BY ALL),
-    g2 AS ({level("lang, source,")}), g1 AS ({level("lang,")}), g0 AS ({level("")}),
-    least(rate, least) AS (VALUES {rates}),
-    lim AS (SELECT g2.lang, g2.source, g2.rate, CAST(CASE WHEN g2.total >= {quality.MIN_GROUP} THEN {fence("g2")} WHEN g1.total >= {quality.MIN_GROUP} THEN {fence("g1")} ELSE {fence("g0")} END AS BIGINT) AS top
-            FROM g2 JOIN g1 ON g1.lang IS NOT DISTINCT FROM g2.lang AND g1.rate = g2.rate JOIN g0 ON g0.rate = g2.rate JOIN least ON least.rate = g2.rate),
-    p AS (SELECT lang, source, {", ".join(f"max(CASE WHEN rate = '{r}' THEN top END) AS max_{r}" for r in quality.RATES)} FROM lim GROUP BY lang, source)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND {" AND ".join(f"{r} <= max_{r}" for r in quality.RATES)} AS kept,
-           {", ".join(f"CAST({r} AS BIGINT) AS {r}" for r in quality.RATES)}, {", ".join(f"max_{r}" for r in quality.RATES)}
+    l AS (UNPIVOT (SELECT lang, source, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in names)} FROM r WHERE NOT base_failed) ON {", ".join(names)} INTO NAME name VALUE v),
+    sk AS (SELECT lang, source, name, CAST({bucket} AS BIGINT) AS bucket, count(*) AS n FROM l GROUP BY ALL),
+    g2 AS ({level("lang, source, ")}), g1 AS ({level("lang, ")}), g0 AS ({level("")}),
+    own AS (SELECT DISTINCT lang, source FROM r),
+    p AS (SELECT own.lang, own.source, {limits} FROM own LEFT JOIN g2 ON g2.lang IS NOT DISTINCT FROM own.lang AND g2.source IS NOT DISTINCT FROM own.source LEFT JOIN g1 ON g1.lang IS NOT DISTINCT FROM own.lang LEFT JOIN g0 ON true)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {fits}, false) AS kept,
+           {", ".join(quality.RATES)}, {", ".join(f"max_{r}" for r in quality.RATES)}
     FROM r JOIN p ON p.lang IS NOT DISTINCT FROM r.lang AND p.source IS NOT DISTINCT FROM r.source"""
 
 
-def _shards_sql(limit: int = sharding.LIMIT, deepest: int = 24) -> str:
+def _buckets_sql(limit: int, deepest: int = 24) -> str:
+    last = sharding.LAST_BIT
     return f"""
-    WITH d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k, coalesce(octet_length(encode(text)), 0) AS b FROM documents),
-    c AS (SELECT depth, k >> CAST({sharding.LAST_BIT} - depth AS INT) AS p, sum(b) AS bytes FROM d, unnest(range(0, {deepest + 1})) AS u(depth) GROUP BY ALL),
-    f AS (SELECT d.doc_id, d.k, d.b, min(c.depth) AS depth FROM d, c WHERE c.p = d.k >> CAST({sharding.LAST_BIT} - c.depth AS INT) AND c.bytes <= {limit} GROUP BY ALL)
-    SELECT f.doc_id, 'b' || CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(f.k >> CAST({sharding.LAST_BIT} - f.depth AS INT)), CAST(f.depth AS INT), '0') END AS shard_id,
-           CAST(f.depth AS INT) AS depth, CAST(f.b AS BIGINT) AS n_bytes, CAST(c.bytes AS BIGINT) AS shard_bytes
-    FROM f JOIN c ON c.depth = f.depth AND c.p = f.k >> CAST({sharding.LAST_BIT} - f.depth AS INT)"""
+    d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k, coalesce(octet_length(encode(text)), 0) AS b FROM documents),
+    c AS (SELECT depth, k >> CAST({last} - depth AS INT) AS p, sum(b) AS bytes FROM d, unnest(list_append(range(0, {deepest + 1}), {last})) AS u(depth) GROUP BY ALL),
+    f AS (SELECT d.doc_id, d.k, d.b, min(c.depth) AS depth FROM d, c WHERE c.p = d.k >> CAST({last} - c.depth AS INT) AND (c.bytes <= {limit} OR c.depth = {last}) GROUP BY ALL),
+    x AS (SELECT f.doc_id, 'b' || CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(f.k >> CAST({last} - f.depth AS INT)), CAST(f.depth AS INT), '0') END AS bucket,
+           CAST(f.depth AS INT) AS depth, CAST(f.b AS BIGINT) AS n_bytes, CAST(c.bytes AS BIGINT) AS bucket_bytes
+    FROM f JOIN c ON c.depth = f.depth AND c.p = f.k >> CAST({last} - f.depth AS INT))"""
 
 
 def _licenses_sql() -> str:
@@ -125,7 +129,8 @@ def _licenses_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _quality_sql(), "op3_extendible_shards": _shards_sql(), "op7_license_scan": _licenses_sql()}
+    return {"op1_quality_rules": _quality_sql(), "op3_extendible_shards": f"WITH {_buckets_sql(sharding.LIMIT)} SELECT doc_id, bucket AS shard_id, depth, n_bytes, bucket_bytes AS shard_bytes FROM x",
+            "shard_buckets_50kb": f"WITH {_buckets_sql(SMALL_SHARD)} SELECT * FROM x", "op7_license_scan": _licenses_sql()}
 
 
 # ---- the pipeline's stages, on one another's output ----
