@@ -4,20 +4,22 @@
 folder.  Of records whose payloads are equal and have at least ``min_bytes`` bytes, those with the
 largest page_id are ``response``, the others ``revisit`` records without a payload that refer to it.
 A file is named after its attempt, and only the names that a finished attempt returns are used, so a
-lost executor leaves at worst a file that nothing refers to.
+lost executor leaves at worst a file that nothing refers to.  Payloads are compared by their SHA-1 and are
+not shuffled: of the digests that repeat, those of more than ``HOT`` records (or all, if they are few) are
+broadcast, and only records of the others meet by digest, at most ``HOT`` of them on one.
 
 ``read_archives`` streams the archives back, one record at a time, and checks lengths and digests.
 
 ``merge_index``: each archive's captures are a run sorted by (URL key, timestamp, page_id).  Ranges of
-that order, cut so that a URL with very many captures is split by time, are dealt to tasks; each task
-merges its slices of the runs with a loser tree.  Ranges follow each other, so (range, position) is
+that order, ties in the order of the runs, are dealt to tasks, so that a URL, or one capture, with very
+many records is split too; each task merges its slices of the runs with a loser tree.  Ranges follow each other, so (range, position) is
 the global order of all captures, and a URL's captures are its history.
 
 A timestamp column is optional; without it a capture's time is EPOCH + page_id seconds.
 
 Defined results: a null html is an empty payload; null page_ids come before all others and a revisit
 may refer only to rows with one; rows that share the largest page_id of a payload are all responses;
-a null URL has the empty key; empty tables give no rows; other columns are ignored.
+a null URL has the empty key; empty tables give no rows; other columns are ignored, whatever their names.
 """
 
 import base64
@@ -34,11 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massif.llm.common import cut, shared_dir
+from massif.llm.common import cut, remove, shared_dir
 
-EPOCH, LEVEL, RANGE_ROWS = datetime(2020, 1, 1, tzinfo=UTC), 1, 50_000
+EPOCH, LEVEL, RANGE_ROWS, HOT = datetime(2020, 1, 1, tzinfo=UTC), 1, 50_000, 10_000
+#: Seconds after EPOCH that still have a date of four digits; and digests up to which a table of them is broadcast.
+SECONDS, BROADCAST_ROWS = 251_000_000_000, 500_000
 _ID = "urn:massif:page:"
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, urlkey string, ts string, run string"
+RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, urlkey string, ts string, run string, seq long"
 
 
 def url_key(url: str | None) -> str:
@@ -107,9 +111,16 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, ts: str |
     """Write one archive for each task; returns archive, n_records, n_bytes (computed once)."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"), (F.col(ts).cast("timestamp") if ts else F.lit(None).cast("timestamp")).alias("ts"))
     base = base.withColumn("sha", F.sha1("payload"))
-    best = base.filter(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).filter("n > 1").select("sha", "newest")
-    # a hash join, built from the digests that repeat, so that payloads are never sorted
-    rows = base.join(best.hint("shuffle_hash"), "sha", "left").select("page_id", "url", "payload", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.when(F.coalesce(F.col("page_id") < F.col("newest"), F.col("page_id").isNull() & F.col("newest").isNotNull()), F.col("newest")).alias("refers_to"))
+    best = base.filter(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).filter("n > 1")
+    best = cut(best)
+    few = best.count() <= BROADCAST_ROWS
+    hot = (best if few else best.filter(F.col("n") > HOT)).select(F.col("sha").alias("hot"), F.col("newest").alias("newest_hot"))
+    rows = base.join(F.broadcast(hot) if few or hot.count() <= BROADCAST_ROWS else hot, F.col("sha") == F.col("hot"), "left").withColumnRenamed("newest_hot", "newest")
+    if not few:  # records of hot digests have theirs, and are spread
+        rest = best.filter(F.col("n") <= HOT).select(F.col("sha").alias("other"), F.col("newest").alias("newest_other"))
+        own = F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.concat(F.lit("hot"), F.monotonically_increasing_id().cast("string")))
+        rows = rows.withColumn("at", own).join(rest, F.col("at") == F.col("other"), "left").withColumn("newest", F.coalesce("newest", "newest_other"))
+    rows = rows.select("page_id", "url", "payload", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.when(F.coalesce(F.col("page_id") < F.col("newest"), F.col("page_id").isNull() & F.col("newest").isNotNull()), F.col("newest")).alias("refers_to"))
 
     def run(batches):
         system, path = _target(folder)
@@ -121,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, ts: str |
                 if out is None:
                     system.create_dir(path, recursive=True)
                     out = system.open_output_stream(name, compression=None)  # the members are compressed already
-                stamp = stamp or (EPOCH + timedelta(seconds=(page_id or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
+                stamp = stamp or (EPOCH + timedelta(seconds=(page_id or 0) % SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
                 member = gzip.compress(record_bytes(page_id, url, payload, digest(payload), stamp, refers), LEVEL, mtime=0)
                 out.write(member)
                 n, size = n + 1, size + len(member)
@@ -137,19 +148,19 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         system, path = _target(folder)
-        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "urlkey", "ts", "run"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "urlkey", "ts", "run", "seq"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
         number = lambda x: None if x is None or x.strip("<>").removeprefix(_ID) == "null" else int(x.strip("<>").removeprefix(_ID))
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 with system.open_input_file(f"{path.rstrip('/')}/{archive}") as stream:
-                    for head, payload in read_records(stream):
+                    for seq, (head, payload) in enumerate(read_records(stream)):
                         named = head["warc-payload-digest"].removeprefix("sha1:")
                         if payload is not None and digest(payload) != named:
                             raise ValueError(f"{archive}: the payload of {head['warc-record-id']} has another digest")
                         url = head.get("warc-target-uri")
-                        rows.append((number(head["warc-record-id"]), url, head["warc-type"], number(head.get("warc-refers-to")), None if payload is None else len(payload), named, url_key(url), head["warc-date"], archive))
+                        rows.append((number(head["warc-record-id"]), url, head["warc-type"], number(head.get("warc-refers-to")), None if payload is None else len(payload), named, url_key(url), head["warc-date"], archive, seq))
                         if len(rows) >= 20_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                             rows = []
@@ -200,10 +211,10 @@ class LoserTree:
 
 
 def merge_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Append merge_range and merge_position: the captures' place in the global (urlkey, ts, page_id) order."""
+    """Append merge_range and merge_position: the captures' place in the global (urlkey, ts, page_id, run, seq) order."""
     runs = cut(captures.sortWithinPartitions("urlkey", "ts", "page_id"))
     ranges = max(1, -(-runs.count() // range_rows))
-    dealt = runs.repartitionByRange(ranges, "urlkey", "ts", "page_id")
+    dealt = runs.repartitionByRange(ranges, "urlkey", "ts", "page_id", "run", "seq")
     names, at = dealt.columns, {c: i for i, c in enumerate(dealt.columns)}
     schema = dealt.schema
 
@@ -213,7 +224,7 @@ def merge_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
             cols = batch.to_pydict()
             for row in zip(*(cols[c] for c in names), strict=True):
                 slices.setdefault(row[at["run"]], []).append(row)
-        key = lambda r: (r[at["urlkey"]] or "", r[at["ts"]] or "", r[at["page_id"]] is not None, r[at["page_id"]] or 0)
+        key = lambda r: (r[at["urlkey"]] or "", r[at["ts"]] or "", r[at["page_id"]] is not None, r[at["page_id"]] or 0, r[at["run"]], r[at["seq"]])
         ordered = [own if all(key(a) <= key(b) for a, b in zip(own, own[1:], strict=False)) else sorted(own, key=key) for _, own in sorted(slices.items())]
         merged = list(LoserTree(ordered, key))
         if merged:
@@ -227,9 +238,15 @@ def merge_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, folder: str | None = None, ts: str | None = None) -> DataFrame:
-    """Write, read back and index all pages: page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, ts, merge_range, merge_position."""
-    folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    """Write, read back and index all pages; the archives stay if ``folder`` is given.
+
+    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, ts, merge_range, merge_position.
+    """
+    spark, own = pages.sparkSession, folder is None
+    folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     records = cut(merge_index(read_archives(write_archives(pages, folder, min_bytes, ts), folder)))
+    if own:
+        remove(spark, folder)
     sizes = records.filter("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("target"), F.col("payload_digest").alias("target_digest"), F.col("payload_bytes").alias("target_bytes")).dropDuplicates(["target", "target_digest"])
     # a revisit's payload is that of the response that it refers to, if the digests agree
     whole = records.join(sizes, (records["refers_to"] == sizes["target"]) & (records["payload_digest"] == sizes["target_digest"]), "left")

@@ -206,6 +206,23 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_digests_that_are_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(warc, "HOT", 5)
+    rows = [(i, f"http://h{i % 3}.org/{i % 7}", None if i % 4 == 0 else f"page {i % 9 if i % 2 else i}", "own") for i in range(120)] + [(200, "http://a.org", "twice", "x")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha string").withColumns({"payload": F.lit(1), "run": F.lit("r"), "newest": F.lit(0)}).repartition(4)
+    newest, seen = {}, Counter()
+    for i, _, html, _ in rows:
+        newest[html or ""] = max(i, newest.get(html or "", -1))
+        seen[html or ""] += 1
+    got = warc.round_trip(pages).collect()
+    text = {i: html or "" for i, _, html, _ in rows}
+    want = lambda i: ("response", None) if newest[text[i]] == i else ("revisit", newest[text[i]])
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows) and all((r.record_type, r.refers_to) == want(r.page_id) for r in got)
+    order = sorted(got, key=lambda r: (r.merge_range, r.merge_position))
+    assert [(r.urlkey, r.ts) for r in order] == sorted((r.urlkey, r.ts) for r in order)
+
+
 # ---- 5 ----
 
 
