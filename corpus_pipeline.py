@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from massif.llm import queries as q
-from massif.llm.common import share_code, shared_dir, table
+from massif.llm.common import remove, share_code, shared_dir, table
 
 STAGES = [
     ("quality rules", q.stage_quality),
@@ -23,10 +23,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; what each returns is kept in the cluster's shared folder."""
+    """Apply the stages to documents; what each returns is kept in the cluster's shared folder until the next has read it."""
     share_code(spark)
     folder, docs = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
