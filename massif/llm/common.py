@@ -71,6 +71,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def held(small: DataFrame, rows: int = 500_000) -> DataFrame:
+    """The frame, to be broadcast if it has few rows (of a few numbers or short strings); else it is joined by shuffling."""
+    return F.broadcast(small) if small.count() <= rows else small
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -1,19 +1,25 @@
-"""Near copies by exact shingle similarity (the pipeline's stage): a prefix-filtered self-join of sets.
+"""Near copies by exact shingle similarity (the pipeline's stage): SimHash first, then a prefix-filtered self-join of sets.
 
 A text's set holds the 64-bit hashes of its runs of ``SHINGLE`` words; a text of fewer words is one
 run.  Two sets are linked if their Jaccard similarity is at least 4/5, counted in whole numbers; op10's
-query keeps its own contract in ``simhash``.
+query keeps its own contract in ``simhash``.  Sets as much alike as that differ in up to a dozen of 64 bits
+and more, beyond what the pigeonhole probes of ``simhash`` can reach in less than quadratic time, so they
+find the closest copies, and the join finds all others:
 
 1. Equal sets fall together by the hash of the set.
-2. All sets are read in one order: shingles that are frequent in a bounded sample last, the others by
+2. Sets get a SimHash of their shingles; those within ``simhash.TAU`` bits (operator 10's generalised
+   pigeonhole) are candidates.  This joins most of a large group of copies at a row for each.
+3. All sets are read in one order: shingles that are frequent in a bounded sample last, the others by
    hash.  Any order gives the same links; this one keeps boilerplate out of the index.  Linked sets
-   share one of the first n - ceil(4 n / 5) + 1 shingles of each, so only these are dealt out by shingle.
-3. Cells of at most ``CELL`` sets give all pairs that size and position allow.  In a larger cell all are
+   share one of the first n - ceil(4 n / 5) + 1 shingles of each, so only these are dealt out by shingle;
+   shingles that are very frequent in the sample are known to be crowded and are spread.
+4. Cells of at most ``CELL`` sets give all pairs that size and position allow.  In a larger cell all are
    compared with one member, another in each round, as long as that joins groups; then all pairs of
    its sets that are in different groups yet are compared.  Sets of one group are in one
    component already, so nothing is lost, and a group of near copies costs a row for each, not each pair.
    Only sets that share a rare shingle and really are dissimilar meet pair by pair.
-4. Candidates are verified on their whole sets, made again from the texts that take part.
+5. Candidates whose shingles fall into ``BINS`` bins so differently that the bins alone rule out the
+   similarity are dropped; the others are verified on their whole sets, made again from the texts that take part.
 
 Defined results: null, empty and blank texts are one empty set; rows that share a doc_id are linked; rows
 without doc_id stay; empty tables give no rows; other columns are kept.
@@ -28,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massif.llm.common import cut, with_arrow
+from massif.llm import simhash
+from massif.llm.common import cut, held, with_arrow
 from massif.llm.simhash import closure, keep_first
 
-SHINGLE, SAMPLE, HEAVY, CELL, ROUNDS, ROWS = 5, 4096, 100_000, 16, 6, 1 << 18
+SHINGLE, SAMPLE, HEAVY, HOT, CELL, ROUNDS, ROWS, BINS, SEEN = 5, 4096, 100_000, 8, 16, 6, 1 << 18, 256, 1 << 20
 _hash, _MIX, U = partial(xxhash.xxh64_intdigest, seed=42), np.uint64(0x9E3779B97F4A7C15), np.uint64
 
 
@@ -64,6 +71,19 @@ def prefix(own: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return own[np.argsort(place, kind="stable")][: len(own) - (4 * len(own) + 4) // 5 + 1]
 
 
+def simhash_of(own: np.ndarray) -> int:
+    """The SimHash of a set: each bit that more than half of its shingles have."""
+    if not len(own):
+        return 0
+    ones = sum(np.unpackbits(own[at : at + ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(own), ROWS))
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view(np.int64)[0])
+
+
+def bins_of(own: np.ndarray) -> bytes:
+    """How many shingles have each value of the hash's lowest bits, 255 for that many and more."""
+    return np.minimum(np.bincount((own % U(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, U)]).view(np.int64)))
@@ -80,20 +100,50 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def prefixes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, mark (the text's hash), fp (the set's), n, prefix."""
-    heavy = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
-    adds = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+def described(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id, mark (the text's hash), fp (the set's), n, sim, bins."""
+    adds = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sim", T.LongType()), T.StructField("bins", T.BinaryType())])
 
     def run(c):
         sets = [shingles(t, k) for t in c[0]]
-        return [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, *heavy.value) for s in sets])]
+        return [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([simhash_of(s) for s in sets], pa.int64()), pa.array([bins_of(s) for s in sets], pa.binary())]
 
     return with_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), ["text"], adds, run).drop("text")
 
 
-def _cells(index: DataFrame, cell: int) -> DataFrame:
-    """Rows a, b of pairs in cells of up to ``cell`` sets; of larger cells rows key, a, n, pos, without b."""
+def index(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """key, a (the set), n, pos, hot: the prefixes; each task gives a set once, as far as it remembers."""
+    heavy = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
+
+    def run(batches):
+        keys, rank = heavy.value
+        hot, seen = keys[rank >= HOT], set()
+        for batch in batches:
+            key, own = [], []
+            for text in batch.column(0).to_pylist():
+                found = shingles(text, k)
+                name = set_id(found)
+                if name in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(name)
+                first = prefix(found, keys, rank)
+                key.append(first)
+                own.append((name, len(found), len(first)))
+            if not own:
+                continue
+            key, (names, sizes, many) = np.concatenate([*key, np.zeros(0, U)]), (np.array(x, np.int64) for x in zip(*own, strict=True))
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many)
+            columns = (key.view(np.int64), np.repeat(names, many), np.repeat(sizes, many).astype(np.int32), pos.astype(np.int32), np.isin(key, hot))
+            for at in range(0, len(key), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + ROWS]) for x in columns], names=["key", "a", "n", "pos", "hot"])
+
+    return docs.select("text").mapInArrow(run, "key long, a long, n int, pos int, hot boolean")
+
+
+def _cells(rows: DataFrame, cell: int) -> DataFrame:
+    """Rows a, b of pairs in cells of up to ``cell`` sets; of larger and hot cells rows key, a, n, pos, without b."""
     names = ["key", "a", "n", "pos", "b"]
 
     def out(key, a, n, pos, b):
@@ -101,10 +151,14 @@ def _cells(index: DataFrame, cell: int) -> DataFrame:
             cols = [pa.nulls(len(a[at : at + ROWS]), t) if c is None else pa.array(c[at : at + ROWS], t) for c, t in zip((key, a, n, pos, b), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    def part(key, a, n, pos):
+    def part(key, a, n, pos, hot):
+        order = np.lexsort((a, key))  # sets that several tasks gave fall together
+        key, a, n, pos, hot = (x[order] for x in (key, a, n, pos, hot))
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1])])
+        key, a, n, pos, hot = (x[once] for x in (key, a, n, pos, hot))
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        big = np.repeat(size > cell, size)
+        big = np.repeat(size > cell, size) | hot
         if big.any():
             yield from out(key[big], a[big], n[big], pos[big], None)
         left, right = [], []
@@ -122,43 +176,99 @@ def _cells(index: DataFrame, cell: int) -> DataFrame:
             yield from out(None, pairs[0], None, None, pairs[1])
 
     def run(batches):
-        waiting, size = [], 0
+        waiting, size, over = [], 0, None
         for batch in batches:
-            waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
             size += batch.num_rows
-            if size >= ROWS:
-                cols = [np.concatenate(c) for c in zip(*waiting, strict=True)]
-                last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on
-                if last:
-                    yield from part(*(c[:last] for c in cols))
-                waiting, size = [[c[last:] for c in cols]], len(cols[0]) - last
+            if size < ROWS:
+                continue
+            cols = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            if over is not None:  # a cell so large that it came in several pieces: known to be crowded
+                cols[4] = cols[4] | (cols[0] == over)
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on
+            if not last:
+                over, last = cols[0][-1], len(cols[0])
+                cols[4] = np.ones(last, bool)
+            yield from part(*(c[:last] for c in cols))
+            waiting, size = [[c[last:] for c in cols]], len(cols[0]) - last
         if size:
-            yield from part(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+            cols = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            if over is not None:
+                cols[4] = cols[4] | (cols[0] == over)
+            yield from part(*cols)
+
+    place = F.when(F.col("hot"), F.xxhash64("a")).otherwise(F.col("key"))
+    return rows.repartition(place).sortWithinPartitions("key").mapInArrow(run, "key long, a long, n int, pos int, b long")
 
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, n int, pos int, b long")
 
+def _possible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose sizes and bins allow the similarity."""
+    side = lambda x: distinct.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
 
-def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, k: int) -> DataFrame:
-    """Those of the pairs a, b whose sets are similar; ``marks`` has fp and the mark of one of its texts."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for i in (4, 5)]
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            most = np.where((bins[0] == 255) | (bins[1] == 255), 1 << 40, np.minimum(*bins)).sum(axis=1)
+            fits = (9 * most >= 4 * (n + m)) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+            yield batch.select(["a", "b"]).filter(pa.array(fits))
+
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "binsa", "binsb")
+    return cut(both.mapInArrow(run, "a long, b long"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
+    """Those of the pairs a, b whose sets are similar."""
+    pairs = _possible(pairs, distinct)
     both = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    texts = docs.select("text", F.xxhash64("text").alias("mark")).join(marks.join(both, "fp", "left_semi").select("mark").distinct(), "mark", "left_semi")
-    adds = T.StructType([T.StructField("fp", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
+    marks = cut(distinct.select("fp", "mark").join(both, "fp", "left_semi").select("mark").distinct())
+    texts = docs.select("text", F.xxhash64("text").alias("mark")).join(held(marks), "mark", "left_semi")
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            sets = {}
+            for text in batch.column(0).to_pylist():
+                own = shingles(text, k)
+                name = set_id(own)
+                if name not in seen and len(seen) < SEEN:
+                    sets[name] = own.tobytes()
+                    seen.add(name)
+                elif name not in seen:
+                    sets[name] = own.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["fp", "s"])
+
+    sets = texts.select("text").mapInArrow(run, "fp long, s binary").groupBy("fp").agg(F.first("s").alias("s"))
+    met = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
+
+    def similar(batches):
+        for batch in batches:
+            keep = []
+            for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), U) for z in (sa, sb))
+                keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(met.mapInArrow(similar, "a long, b long"))
 
-    def run(c):
-        sets = [shingles(t, k) for t in c[0]]
-        return [pa.array([set_id(s) for s in sets], pa.int64()), _lists(sets)]
 
-    sets = cut(with_arrow(texts.select("text"), ["text"], adds, run).drop("text").groupBy("fp").agg(F.first("s").alias("s")))
-    met = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
-    return cut(met.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
+def _closest(distinct: DataFrame) -> DataFrame:
+    """a, b: pairs of sets whose SimHashes are equal or near: each set with the first of its SimHash, and the firsts of linked SimHashes."""
+    firsts = cut(distinct.filter("n > 0").groupBy("sim").agg(F.min("fp").alias("a")))
+    same = distinct.filter("n > 0").select("sim", F.col("fp").alias("b")).join(firsts, "sim").filter("a <> b").select("a", "b")
+    near = simhash.links(firsts.select(F.col("sim").alias("fp"))).select(F.col("a").alias("sim"), F.col("b").alias("other"))
+    far = near.join(firsts, "sim").join(firsts.select(F.col("sim").alias("other"), F.col("a").alias("b")), "other").select("a", "b")
+    both = same.unionByName(far)
+    return cut(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def links(docs: DataFrame, distinct: DataFrame, k: int = SHINGLE, cell: int = CELL) -> DataFrame:
-    """a, b: edges between distinct sets (fp, n, prefix, mark) whose closure is that of all similar pairs."""
-    index = distinct.select("fp", "n", F.posexplode("prefix").alias("pos", "key")).select("key", F.col("fp").alias("a"), "n", "pos")
-    found = cut(_cells(index, cell))
-    marks, seen = distinct.select("fp", "mark"), cut(found.filter("b is not null").select("a", "b").distinct())
-    edges, crowded = _verified(seen, docs, marks, k), found.filter("b is null").drop("b")
+    """a, b: edges between distinct sets (fp, n, sim, bins, mark) whose closure is that of all similar pairs."""
+    found = cut(_cells(index(docs, k), cell))
+    seen = cut(_closest(distinct).unionByName(found.filter("b is not null").select("a", "b")).distinct())
+    edges, crowded = _verified(seen, docs, distinct, k), found.filter("b is null").drop("b").distinct()
     fits = F.expr("5 * least(n, m) >= 4 * greatest(n, m)")
     for turn in range(ROUNDS + 1):
         roots = closure(edges).select(F.col("node").alias("a"), "root")
@@ -176,7 +286,7 @@ def links(docs: DataFrame, distinct: DataFrame, k: int = SHINGLE, cell: int = CE
         if last:
             near = near.filter(F.expr("a < b and 9 * least(n - pos, m - at) >= 4 * (n + m)"))
         pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"))
-        edges = cut(edges.unionByName(_verified(pairs, docs, marks, k)))
+        edges = cut(edges.unionByName(_verified(pairs, docs, distinct, k)))
         if last:
             break
         seen, crowded = seen.unionByName(pairs), crowded.select("key", "a", "n", "pos")
@@ -185,8 +295,8 @@ def links(docs: DataFrame, distinct: DataFrame, k: int = SHINGLE, cell: int = CE
 
 def components(docs: DataFrame, k: int = SHINGLE, cell: int = CELL) -> DataFrame:
     """One row for each document: doc_id, component_id."""
-    own = cut(prefixes(docs, k))
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mark").alias("mark")))
+    own = cut(described(docs, k))
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bins").alias("bins"), F.min("mark").alias("mark")))
     twice = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").select("doc_id", "a")
     edges = links(docs, distinct, k, cell).unionByName(own.select("doc_id", "fp").join(twice, "doc_id").filter("fp <> a").select("a", F.col("fp").alias("b")))
     rooted = distinct.select("fp", "rep").join(closure(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

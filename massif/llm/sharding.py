@@ -20,11 +20,9 @@ rows are equal keys, dealt on as above; empty tables give no rows; other columns
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massif.llm.common import cut, fresh
+from massif.llm.common import cut, fresh, held
 
 LIMIT, LAST_BIT, SHALLOW = 16 << 20, 60, 12
-#: Rows of the directory up to which it is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 500_000
 
 
 def key_of(doc_id: Column) -> Column:
@@ -52,18 +50,13 @@ def directory(sizes: DataFrame, limit: int = LIMIT) -> tuple[int, DataFrame, Dat
     depth = min(LAST_BIT - 1, (max(1, -(-total // limit)) - 1).bit_length() + 2)
     cells = cut(sizes.groupBy(_prefix(F.col("key"), depth).alias("at")).agg(F.sum("bytes").alias("bytes")))
     fine = cut(_buckets(cells, 0, depth, limit))
-    large = sizes.join(_held(cells.filter(F.col("bytes") > limit).select(F.col("at").alias("large"))), _prefix(F.col("key"), depth) == F.col("large"), "left_semi")
+    large = sizes.join(held(cells.filter(F.col("bytes") > limit).select(F.col("at").alias("large"))), _prefix(F.col("key"), depth) == F.col("large"), "left_semi")
     keys = cut(large.groupBy(F.col("key").alias("at")).agg(F.sum("bytes").alias("bytes")))
     found = _buckets(keys, depth + 1, LAST_BIT, limit)
     none = keys.filter(F.col("bytes") > limit).select("at", F.lit(LAST_BIT).alias("depth"), F.col("at").alias("prefix"), F.col("bytes").alias("bucket_bytes"))
     return depth, fine, cut(found.unionByName(none))
 
 
-def _held(small: DataFrame) -> DataFrame:
-    """The frame, to be broadcast if it is small enough."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def buckets(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row for each document, before large keys are dealt on: doc_id, bucket, depth, n_bytes, bucket_bytes."""
     return _placed(docs.select("doc_id", "text"), limit).select("doc_id", F.col("_bucket").alias("bucket"), F.col("_depth").alias("depth"), F.col("_size").alias("n_bytes"), F.col("_total").alias("bucket_bytes"))
@@ -84,7 +77,7 @@ def _placed(docs: DataFrame, limit: int) -> DataFrame:
     depth, fine, opened = directory(cut(rows.select(F.col("_key").alias("key"), F.col("_size").alias("bytes"))), limit)
     names = ("depth", "prefix", "bucket_bytes")
     cell, key = fine.select(F.col("at").alias("_cell"), *(F.col(c).alias(f"_a_{c}") for c in names)), opened.select(F.col("at").alias("_whole"), *(F.col(c).alias(f"_b_{c}") for c in names))
-    got = rows.join(_held(cell), _prefix(F.col("_key"), depth) == F.col("_cell"), "left").join(_held(key), F.col("_key") == F.col("_whole"), "left")
+    got = rows.join(held(cell), _prefix(F.col("_key"), depth) == F.col("_cell"), "left").join(held(key), F.col("_key") == F.col("_whole"), "left")
     got = got.withColumns({f"_{c}": F.coalesce(f"_a_{c}", f"_b_{c}") for c in names})
     bits = F.expr("concat('b', lpad(bin(_prefix), _depth, '0'))")
     return got.select(*docs.columns, "_key", "_size", "_mark", bits.alias("_bucket"), F.col("_depth").cast("int").alias("_depth"), F.col("_bucket_bytes").alias("_total"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massif.llm.common import cut, with_arrow
+from massif.llm.common import cut, held, with_arrow
 
 SHINGLE, TAU, SAMPLE, CELL, BLOCK = 3, 2, 4096, 64, 1 << 16
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -180,10 +180,15 @@ def deduplicate(docs: DataFrame, k: int = SHINGLE, tau: int = TAU) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents without those whose component (``found``: doc_id, component_id) has a smaller doc_id."""
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    """The documents without those whose component (``found``: doc_id, component_id) has a smaller doc_id.
+
+    Of rows that share a doc_id that stays, the one whose text is first in order stays; equal texts are as good as each other.
+    """
+    drop = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct())
+    kept = docs.join(held(drop, 2_000_000), docs["doc_id"] == F.col("_drop"), "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        some = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
+        whole = F.struct(*(F.col(f"`{c}`") for c in kept.columns))
+        first = kept.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("_row"))
+        some = first.select(*(F.col("_row")[c].alias(c) for c in kept.columns))
         kept = some.unionByName(kept.filter("doc_id is null"))
     return kept
