@@ -105,6 +105,12 @@ def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     return out
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256):
+    """A batch in pieces, so that Python holds the objects of a few texts at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def with_arrow(df: DataFrame, reads: list[str], adds: T.StructType, fn) -> DataFrame:
     """Append columns made by ``fn``; every input column passes through untouched.
 
@@ -119,10 +125,9 @@ def with_arrow(df: DataFrame, reads: list[str], adds: T.StructType, fn) -> DataF
     schema = T.StructType([df.schema[c] for c in keep] + list(adds.fields))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = fn(tuple(batch.column(i).to_pylist() for i in at))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept_at] + list(made), names=schema.fieldNames())
+        for whole in batches:
+            for batch in slices(whole):
+                made = fn(tuple(batch.column(i).to_pylist() for i in at))
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept_at] + list(made), names=schema.fieldNames())
 
     return df.mapInArrow(run, schema)

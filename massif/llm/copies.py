@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massif.llm import simhash
-from massif.llm.common import cut, held, with_arrow
+from massif.llm.common import cut, held, slices, with_arrow
 from massif.llm.simhash import closure, keep_first
 
-SHINGLE, SAMPLE, HEAVY, HOT, CELL, ROUNDS, ROWS, BINS, SEEN = 5, 4096, 100_000, 8, 16, 6, 1 << 18, 256, 1 << 20
+SHINGLE, SAMPLE, HEAVY, HOT, CELL, ROUNDS, ROWS, BINS, SEEN = 5, 4096, 100_000, 8, 16, 6, 1 << 17, 256, 1 << 18
 _hash, _MIX, U = partial(xxhash.xxh64_intdigest, seed=42), np.uint64(0x9E3779B97F4A7C15), np.uint64
 
 
@@ -118,7 +118,7 @@ def index(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     def run(batches):
         keys, rank = heavy.value
         hot, seen = keys[rank >= HOT], set()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             key, own = [], []
             for text in batch.column(0).to_pylist():
                 found = shingles(text, k)
@@ -206,9 +206,7 @@ def _possible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     side = lambda x: distinct.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (piece for whole in batches for piece in slices(whole, 4096)):
             bins = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for i in (4, 5)]
             n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
             most = np.where((bins[0] == 255) | (bins[1] == 255), 1 << 40, np.minimum(*bins)).sum(axis=1)
@@ -228,23 +226,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, k: int) ->
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             sets = {}
             for text in batch.column(0).to_pylist():
                 own = shingles(text, k)
                 name = set_id(own)
-                if name not in seen and len(seen) < SEEN:
-                    sets[name] = own.tobytes()
-                    seen.add(name)
-                elif name not in seen:
+                if name not in seen:
                     sets[name] = own.tobytes()
+                    if len(seen) < SEEN:
+                        seen.add(name)
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["fp", "s"])
 
     sets = texts.select("text").mapInArrow(run, "fp long, s binary").groupBy("fp").agg(F.first("s").alias("s"))
     met = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def similar(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             keep = []
             for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), U) for z in (sa, sb))
