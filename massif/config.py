@@ -33,6 +33,7 @@ class EngineConfig:
     rectangular_ratio: float = 0.4
     circularity_threshold: float = 0.8
     keep_properties: tuple[str, ...] | None = None
+    raster_drivers: tuple[str, ...] | None = None
     round_digits: int = 2
     coord_digits: int = 8
     mode: str = "building"
@@ -46,6 +47,8 @@ class EngineConfig:
     carbon_fraction: float = 0.47
 
     def __post_init__(self):
+        from massif.functions import projection
+
         limits = {"max_height_classes": (1, 32), "morph_closing_iters": (0, 100), "round_digits": (0, 15), "coord_digits": (0, 15)}
         for name, (low, high) in limits.items():
             value = getattr(self, name)
@@ -58,6 +61,8 @@ class EngineConfig:
             ratio = f.name.endswith("_ratio") or f.name in ("circularity_threshold", "carbon_fraction")
             if ratio and value > 1:
                 raise InputError(f"{f.name} must be at most 1, not {value!r}")
+        if self.mode == "building" and not projection.metric(projection.code(self.working_crs)):
+            raise InputError(f"working_crs must be a projected system in metres, not {self.working_crs}")
         for name, allowed in {"base_elevation_stat": ("min", "mean", "median"), "ground_source_type": ("DTM", "DEM"), "mode": ("building", "tree"), "output_crs": ("EPSG:4326",)}.items():
             if getattr(self, name) not in allowed:
                 raise InputError(f"{name} must be one of {', '.join(allowed)}, not {getattr(self, name)!r}")

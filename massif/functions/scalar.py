@@ -3,16 +3,49 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CANONICAL = ("object_id", "part_id", "parent_part_id", "part_level", "area_m2", "volume_m3")
+#: The names of a part's own columns (fixed values).
+CANONICAL = (
+    "object_id", "part_id", "parent_part_id", "part_level", "ground_elevation_m", "base_height_agl_m", "top_height_agl_m", "part_height_m", "base_elevation_m", "top_elevation_m",
+    "area_m2", "perimeter_m", "oriented_length_m", "oriented_width_m", "dimension_method", "orientation_deg", "volume_m3", "delta_z_m", "expected_pixel_count", "valid_pixel_count",
+    "support_pixel_count", "valid_coverage_ratio", "decomposition_reason", "parent_containment_ratio", "interior_ring_count", "geometry_method",
+)
 
 
 def normalize_id(json: Column) -> Column:
-    """An id given as JSON: strings are trimmed, whole numbers lose their point, booleans, null and blanks are missing."""
+    """An id given as JSON text: strings are trimmed, whole numbers lose their point, other numbers their last zeros; booleans, null, blanks, lists and objects are missing."""
     text = F.trim(json)
     string = F.nullif(F.trim(F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")), F.lit(""))
-    number = text.try_cast("double")
-    whole = F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("bigint").cast("string"))
-    return F.when(text.startswith('"'), string).when(number.isNull() | F.isnan(number), None).otherwise(F.coalesce(whole, text))
+    number, size = text.try_cast("double"), F.abs(text.try_cast("double"))
+    whole = F.coalesce(number.try_cast("decimal(38,0)").cast("string"), text)
+    short = F.when((size >= 1e-3) & (size < 1e7), number.cast("string")).when(text.rlike("^-?[0-9]+\\.[0-9]+$"), F.regexp_replace(text, "0+$", "")).otherwise(F.lower(number.cast("string")))
+    return (
+        F.when(text.startswith('"'), string).when(~text.rlike("^-?[0-9]") | number.isNull() | F.isnan(number) | (size == float("inf")), None)
+        .when(text.rlike("^-?[0-9]+$"), F.when(number == 0, "0").otherwise(text)).when(number == F.floor(number), whole).otherwise(short)
+    )
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded to decimals by the number's exact binary value, halves to even: 2.675 is below its half and becomes 2.67.
+
+    The product with the power of ten is taken with its rounding error, which decides near halves.  The number
+    is bound to a lambda's variable, so that nested calls don't repeat it.
+    """
+    scale = float(10**digits)
+    split = 134217729.0  # 2 ** 27 + 1: cuts a number's bits in halves
+    top = scale * split - (scale * split - scale)
+    rest = scale - top
+
+    def rounded(v: Column, product: Column) -> Column:
+        high = (v * split) - ((v * split) - v)
+        low = v - high
+        error = ((high * top - product) + high * rest + low * top) + low * rest
+        floor = F.floor(product).cast("double")
+        over = (product - floor - 0.5) + error
+        up = F.when(over > 0, 1.0).when((over == 0) & (F.pmod(floor, F.lit(2.0)) == 1), 1.0).otherwise(0.0)
+        return F.when(F.abs(product) < 2.0**52, (floor + up) / scale).otherwise(v)
+
+    pairs = F.transform(F.array(x.cast("double")), lambda v: F.struct(v.alias("v"), (v * scale).alias("p")))
+    return F.get(F.transform(pairs, lambda q: rounded(q["v"], q["p"])), F.lit(0))
 
 
 def finite(x: Column) -> Column:
@@ -21,7 +54,7 @@ def finite(x: Column) -> Column:
 
 
 def keep_properties(props: Column, names: list[str] | None = None) -> Column:
-    """The wanted properties (None: all); those that clash with canonical columns get the prefix src_."""
+    """The wanted properties (None: all); those that clash with a part's own columns get the prefix src_."""
     kept = props if names is None else F.map_filter(props, lambda k, _: k.isin(*names) if names else F.lit(False))
     return F.transform_keys(kept, lambda k, _: F.when(k.isin(*CANONICAL), F.concat(F.lit("src_"), k)).otherwise(k))
 
@@ -70,23 +103,6 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
     return (F.when(lat >= 0, 32600).otherwise(32700) + zone).cast("int")
 
 
-def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing on WGS 84, by Krueger's series to the fourth order."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
-    e = 2 * n**0.5 / (1 + n)
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, k in enumerate(alpha, 1):
-        east = east + k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000 + 0.9996 * radius * east, F.when(lat < 0, 10000000.0).otherwise(0.0) + 0.9996 * radius * north
-
-
 def names_of(text: str) -> list[str]:
     """The names in a list with commas, trimmed, blanks left out, each once."""
     return list(dict.fromkeys(n.strip() for n in text.split(",") if n.strip()))

@@ -5,7 +5,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from massif.config import EngineConfig
-from massif.functions import shapes
+from massif.functions import overlay, shapes
+from massif.operators import hierarchy
 
 
 def shape_metrics(df: DataFrame) -> DataFrame:
@@ -31,14 +32,50 @@ def regularized(parts: DataFrame, config: EngineConfig | None = None) -> DataFra
             for rings in batch["rings"]:
                 own = []
                 for shell, *holes in shapes.polygons([np.array([list(p) for p in r], float) for r in rings]):
-                    ring, kept = shapes.regularize(shell, holes, circularity=c.circularity_threshold, rectangular=c.rectangular_ratio, tolerance=c.simplify_tolerance_m, min_hole=c.max_fill_hole_area_m2)
-                    own += [ring.tolist(), *(h.tolist() for h in kept)]
+                    region, _ = shapes.regularize(shell, holes, circularity=c.circularity_threshold, rectangular=c.rectangular_ratio, tolerance=c.simplify_tolerance_m, min_hole=c.max_fill_hole_area_m2)
+                    own += [r.tolist() for p in region for r in p]
                 out.append(own)
             yield batch.assign(rings=out)
 
     return parts.mapInPandas(run, parts.schema)
 
 
+def overlap(pairs: DataFrame) -> DataFrame:
+    """The pairs with shared_m2, outside_m2 (of ``a``) and share: how much of the polygons ``a`` lies in ``b``, row by row."""
+    keep = [c for c in pairs.columns if c not in ("a", "b")]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for one, other in zip(batch["a"], batch["b"], strict=True):
+                x, y = overlay.repaired(hierarchy.opened(one)), overlay.repaired(hierarchy.opened(other))
+                size, shared = overlay.area(x), overlay.area(overlay.intersection(x, y))
+                rows.append((shared, overlay.outside(x, y) if x else 0.0, shared / size if size else 0.0))
+            shared, outside, share = zip(*rows, strict=True) if rows else ((), (), ())
+            yield batch[keep].assign(shared_m2=shared, outside_m2=outside, share=share)
+
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep)
+    return pairs.mapInPandas(run, f"{kinds}, shared_m2 double, outside_m2 double, share double")
+
+
+def union(parts: DataFrame) -> DataFrame:
+    """object_id, polygons: the union of each object's polygons; one object's shapes meet in one task."""
+    kind = parts.schema["object_id"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        whole = overlay.union(*(overlay.repaired(hierarchy.opened(p)) for p in rows["polygons"]))
+        return pd.DataFrame({"object_id": [rows["object_id"].iloc[0]], "polygons": [hierarchy.closed(whole)]})
+
+    return parts.select("object_id", "polygons").groupBy("object_id").applyInPandas(run, f"object_id {kind}, polygons {hierarchy.SHAPE}")
+
+
+def union_area(parts: DataFrame) -> DataFrame:
+    """object_id, area_m2: the area that each object's polygons cover together; objects without area are left out."""
+    from massif.operators.trees import region_area
+
+    return union(parts).select("object_id", region_area("polygons").alias("area_m2")).filter("area_m2 > 0")
+
+
 def polygons(parts: DataFrame) -> DataFrame:
     """The rows with ``polygons``: their rings as closed GeoJSON multipolygon coordinates."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in parts.schema)}, polygons array<array<array<array<double>>>>"

@@ -9,6 +9,8 @@ import math
 
 import numpy as np
 
+from massif.functions import overlay
+
 
 def signed_area(ring) -> float:
     p = np.asarray(ring, float)
@@ -108,30 +110,66 @@ def circle(points) -> tuple[float, float, float]:
     return grow([tuple(p) for p in hull(points).tolist()], [])
 
 
-def simplify(ring, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker between the two points that are farthest apart; the ring itself if under three points or no area stay."""
-    p = np.asarray(ring, float)
-    if len(p) < 4 or tolerance <= 0:
-        return p
-    far = int(np.argmax(np.hypot(*(p - p[0]).T)))
-    closed, keep, todo = np.vstack([p, p[:1]]), {0, far}, [(0, far), (far, len(p))]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
+def _thinned(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker from the ring's first point around to itself; at least a triangle stays on one side of the point that is farthest from it."""
+    closed = np.vstack([p, p[:1]])
+
+    def split(a: int, b: int) -> tuple[int, float]:
         d = closed[b] - closed[a]
         rel, n = closed[a + 1 : b] - closed[a], np.hypot(*d)
         away = np.abs(rel[:, 0] * d[1] - rel[:, 1] * d[0]) / n if n else np.hypot(*rel.T)
         k = int(np.argmax(away))
-        if away[k] > tolerance:
-            keep.add(a + 1 + k)
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    out = p[sorted(keep)]
-    return out if len(out) > 2 and abs(signed_area(out)) > 0 else p
+        return a + 1 + k, float(away[k])
+
+    def points(a: int, b: int, forced: bool) -> list[int]:
+        """The points kept between a and b."""
+        out, todo = [], [(a, b, forced)]
+        while todo:
+            i, j, must = todo.pop()
+            if j - i < 2:
+                continue
+            k, away = split(i, j)
+            if away > tolerance or must:
+                out.append(k)
+                todo += [(i, k, False), (k, j, False)]
+        return sorted(out)
+
+    far, _ = split(0, len(p))
+    left = points(0, far, True)
+    right = points(far, len(p), len(left) < 2)
+    keep = [0, *left, far, *right]
+    if len(keep) > 3:  # the first point is no corner by itself
+        before, after = closed[keep[-1]], closed[keep[1]]
+        d = after - before
+        t = float(np.clip((p[0] - before) @ d / max(d @ d, 1e-300), 0, 1))
+        if np.hypot(*(p[0] - before - t * d)) <= tolerance:
+            keep = keep[1:]
+    return p[keep]
+
+
+def simplify(ring, tolerance: float) -> np.ndarray:
+    """The ring without points that lie within the tolerance of their neighbours' line.
+
+    A result that crosses or touches itself, or has no area, is made again at half the tolerance, a few times; then the ring stays.
+    """
+    p = np.asarray(ring, float)
+    for _ in range(6):
+        if len(p) < 4 or tolerance <= 0:
+            break
+        out = _thinned(p, tolerance)
+        if len(out) > 2 and overlay.valid([[out]]):
+            return out
+        tolerance /= 2
+    return p
 
 
 def orthogonal(ring) -> np.ndarray:
-    """The ring with right angles only, along its rectangle's longest side; that rectangle if there are too few or an odd number of runs."""
+    """The ring with right angles only, along its rectangle's longest side.
+
+    Neighbouring edges of one direction are a run, that lies at the mean of their middles; the run through the
+    ring's first point, at the mean of its two parts' means.  With too few runs it is that rectangle; a result
+    without area is the ring itself.
+    """
     p, box = np.asarray(ring, float), rectangle(ring)
     if box is None:
         return p
@@ -141,30 +179,41 @@ def orthogonal(ring) -> np.ndarray:
     turn = np.stack([u, [-u[1], u[0]]], axis=1)
     q = p @ turn
     step = np.roll(q, -1, axis=0) - q
-    size, flat = np.hypot(*step.T), np.abs(step[:, 0]) >= np.abs(step[:, 1])
-    first = np.flatnonzero(flat != np.roll(flat, 1))
-    if len(first) < 4 or len(first) % 2:
+    flat = np.abs(step[:, 0]) >= np.abs(step[:, 1])
+    mid = np.where(flat, (q[:, 1] + np.roll(q[:, 1], -1)) / 2, (q[:, 0] + np.roll(q[:, 0], -1)) / 2)
+    runs = [(bool(flat[r[0]]), float(mid[r].mean())) for r in np.split(np.arange(len(q)), np.flatnonzero(np.diff(flat.astype(int))) + 1)]
+    if len(runs) > 1 and runs[0][0] == runs[-1][0]:
+        runs[0] = runs[0][0], (runs[0][1] + runs.pop()[1]) / 2
+    if len(runs) < 4 or len(runs) % 2:
         return box
-    order = np.roll(np.arange(len(q)), -first[0])
-    runs = np.split(order, np.flatnonzero(np.diff(flat[order].astype(int))) + 1)
-    mid = (q + np.roll(q, -1, axis=0)) / 2
-    place = [(bool(flat[r[0]]), float(np.average(mid[r, 1 if flat[r[0]] else 0], weights=np.maximum(size[r], 1e-12)))) for r in runs]
-    out = np.array([(place[i - 1][1], at) if level else (at, place[i - 1][1]) for i, (level, at) in enumerate(place)]) @ turn.T
-    return out if abs(signed_area(out)) > 0 else p
-
-
-def regularize(shell, holes=(), *, circularity: float = 0.8, rectangular: float = 0.4, tolerance: float = 0.9, min_hole: float = 4.0, segments: int = 32) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A circle, a rectangle or a right-angled ring for the shell, and its larger holes simplified; areas are tested before simplification."""
-    area, length, box = abs(signed_area(shell)), perimeter(shell), rectangle(shell)
-    if length > 0 and 4 * math.pi * area / length**2 >= circularity:
-        x, y, r = circle(shell)
-        t = np.arange(segments) * (2 * math.pi / segments)
-        out = np.stack([x + r * np.cos(t), y + r * np.sin(t)], axis=1)
-    elif box is not None and area >= rectangular * abs(signed_area(box)):
-        out = box
-    else:
-        out = orthogonal(simplify(shell, tolerance))
-    return turned(out, True), [turned(simplify(h, tolerance), False) for h in holes if abs(signed_area(h)) > min_hole]
+    out = np.array([(after, at) if level else (at, after) for (level, at), (_, after) in zip(runs, runs[1:] + runs[:1], strict=True)]) @ turn.T
+    if overlay.valid([[out]]):
+        return out
+    whole = overlay.repair([out])
+    return max((own[0] for own in whole), key=signed_area) if whole else p
+
+
+def regularize(shell, holes=(), *, regular: bool = True, circularity: float = 0.8, rectangular: float = 0.4, tolerance: float = 0.9, min_hole: float = 4.0, segments: int = 32) -> tuple[list, str]:
+    """A region made of a shell without its larger holes, and how: the simplified shell, or (``regular``) a circle, rectangle or right-angled ring for it.
+
+    Which of these is decided by the simplified shell.  Holes of up to ``min_hole`` are dropped by their own
+    area, the others are simplified and cut out.
+    """
+    simple, method = simplify(shell, tolerance), "simplified"
+    out = simple
+    if regular:
+        size, around, box = abs(signed_area(simple)), perimeter(simple), rectangle(simple)
+        if around > 0 and 4 * math.pi * size / around**2 >= circularity:
+            x, y, r = circle(simple)
+            t = np.arange(segments) * (2 * math.pi / segments)
+            out, method = np.stack([x + r * np.cos(t), y + r * np.sin(t)], axis=1), "minimum_bounding_circle"
+        elif box is not None and size >= rectangular * abs(signed_area(box)):
+            out, method = box, "minimum_rotated_rectangle"
+        else:
+            out, method = orthogonal(simple), "orthogonalized"
+    cuts = [[[simplify(h, tolerance)]] for h in holes if abs(signed_area(h)) > min_hole]
+    region = [[turned(out, True)]]
+    return (overlay.difference(region, overlay.union(*cuts)) if cuts else region), method
 
 
 def _cross(a, b, c) -> float:

@@ -1,9 +1,11 @@
-"""Exact one-dimensional height clustering over histograms, as folds over arrays.
+"""Exact one-dimensional height clustering over histograms.
 
 The cost depends on an object's distinct heights, not on its pixels: a pre-aggregated (height, count)
-histogram for each object is all that meets in one place.
+histogram for each object is all that meets in one place.  One method serves the columns and the kernels.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,42 +18,50 @@ def histograms(pixels: DataFrame, least: float) -> DataFrame:
     return h.groupBy("object_id", "v").agg(F.count("*").alias("n")).groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("hist"))
 
 
-def kmeans(hist: DataFrame, k: int) -> DataFrame:
-    """Append centers: Lloyd's method from quantiles, at most ROUNDS rounds.
+def quantiles(v: np.ndarray, n: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Linear quantiles of a histogram with ascending values."""
+    upto = np.cumsum(n)
+    place = shares * (upto[-1] - 1)
+    low, high = (v[np.searchsorted(upto, f(place), "right")] for f in (np.floor, np.ceil))
+    return low + (high - low) * (place - np.floor(place))
+
+
+def centers_of(v: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Lloyd's method on a histogram, from evenly spaced quantiles, at most ROUNDS rounds.
 
     k is at most the number of distinct heights; equal starting quantiles count once; a height on
     the midpoint of two centres belongs to the lower; an empty cluster keeps its centre; the update
     that hardly moves anything is still adopted.
     """
-    total = F.aggregate("hist", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    # the value at each position of the sorted heights, for linear quantiles
-    upto = F.transform("hist", lambda x, i: F.aggregate(F.slice(F.col("hist"), F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]))
-    df = hist.withColumns({"total": total, "kk": F.least(F.lit(k), F.size("hist")), "upto": upto})
-    at = lambda pos: F.get(F.filter(F.zip_with("hist", "upto", lambda x, u: F.when(u > pos, x["v"])), lambda v: v.isNotNull()), F.lit(0))
-
-    def quantile(i):
-        pos = F.when(F.col("kk") > 1, i / (F.col("kk") - 1)).otherwise(0.0) * (F.col("total") - 1)
-        low, high = at(F.floor(pos)), at(F.ceil(pos))
-        return low + (high - low) * (pos - F.floor(pos))
-
-    df = df.withColumn("start", F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("kk") - 1), quantile))))
-
-    def update(centers):
-        def moved(c, i):
-            low, high = F.get(centers, i - 1), F.get(centers, i + 1)
-            own = F.filter(F.col("hist"), lambda x: F.coalesce(x["v"] > (low + c) / 2, F.lit(True)) & F.coalesce(x["v"] <= (c + high) / 2, F.lit(True)))
-            n = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-            return F.when(n > 0, F.aggregate(own, F.lit(0.0), lambda a, x: a + x["v"] * x["n"]) / n).otherwise(c)
-
-        return F.transform(centers, moved)
-
-    def step(state, _):
-        new = update(state["c"])
-        done = F.forall(F.zip_with(new, state["c"], lambda a, b: F.abs(a - b)), lambda d: d < STILL)
-        return F.when(state["done"], state).otherwise(F.struct(new.alias("c"), done.alias("done")))
-
-    ended = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(F.col("start").alias("c"), F.lit(False).alias("done")), step)
-    return df.withColumn("centers", F.array_sort(ended["c"])).drop("total", "kk", "upto", "start")
+    k, mass = min(k, len(v)), n * v
+    centers = np.unique(quantiles(v, n, np.arange(k) / (k - 1) if k > 1 else np.zeros(1)))
+    for _ in range(ROUNDS):
+        moved = centers.copy()
+        first = np.concatenate([[0], np.searchsorted(v, (centers[1:] + centers[:-1]) / 2, "right")])
+        some = np.flatnonzero(np.diff(first, append=len(v)))  # clusters that hold a height
+        moved[some] = np.add.reduceat(mass, first[some]) / np.add.reduceat(n, first[some])
+        far = np.abs(moved - centers).max()
+        centers = np.sort(moved)
+        if far < STILL:
+            break
+    return centers
+
+
+def owners(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest of ascending centres, the lower of two that are as near."""
+    return np.searchsorted((centers[1:] + centers[:-1]) / 2, v, "left")
+
+
+def kmeans(hist: DataFrame, k: int) -> DataFrame:
+    """Append centers to the histograms; rows are independent, so nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            found = [centers_of(np.array([x["v"] for x in h]), np.array([x["n"] for x in h], float), k).tolist() for h in batch["hist"]]
+            yield pd.DataFrame({"object_id": batch["object_id"], "hist": batch["hist"], "centers": found})
+
+    kind = hist.schema["object_id"].dataType.simpleString()
+    return hist.select("object_id", "hist").mapInPandas(run, f"object_id {kind}, hist array<struct<v:double,n:bigint>>, centers array<double>")
 
 
 def merge_close(centers: DataFrame, threshold: float) -> DataFrame:

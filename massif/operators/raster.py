@@ -67,31 +67,43 @@ def close_mask(mask: np.ndarray, n: int) -> np.ndarray:
 
 
 def label(mask: np.ndarray, eight: bool = False) -> tuple[np.ndarray, int]:
-    """Connected components, numbered from 1 in row order of their first pixels."""
-    roots: list[int] = []
-
-    def find(i):
-        while roots[i] != i:
-            roots[i] = roots[roots[i]]
-            i = roots[i]
-        return i
-
-    out = np.zeros(mask.shape, np.int64)
-    back = [(-1, 0), (0, -1)] + ([(-1, -1), (-1, 1)] if eight else [])
-    for r, c in zip(*np.nonzero(mask), strict=True):
-        near = [out[r + a, c + b] for a, b in back if 0 <= r + a and 0 <= c + b < mask.shape[1] and out[r + a, c + b]]
-        if not near:
-            roots.append(len(roots))
-            out[r, c] = len(roots)
-            continue
-        low = min(find(x - 1) for x in near)
-        for x in near:
-            roots[find(x - 1)] = low
-        out[r, c] = low + 1
-    number: dict[int, int] = {}
-    for r, c in zip(*np.nonzero(mask), strict=True):
-        out[r, c] = number.setdefault(find(out[r, c] - 1), len(number) + 1)
-    return out, len(number)
+    """Connected components, numbered from 1 in row order of their first pixels.
+
+    Rows fall into runs of pixels; runs that touch runs of the row above are joined, each round to the
+    smallest number among their neighbours and that one's own.
+    """
+    wide = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    wide[:, 1:-1] = mask
+    step = np.diff(wide, axis=1)
+    row, start = np.nonzero(step > 0)
+    stop = np.nonzero(step < 0)[1]
+    n, reach = len(row), int(eight)
+    if not n:
+        return np.zeros(mask.shape, np.int64), 0
+    # for each run the first and last run of the row above that it touches
+    line = mask.shape[1] + 2
+    low = np.searchsorted((row + 1) * line + stop + reach, row * line + start, "right")
+    high = np.searchsorted((row + 1) * line + start - reach, row * line + stop, "left")
+    many = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(n), many)
+    b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + low[a]
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    first, number = np.unique(root, return_inverse=True)
+    out = np.zeros((mask.shape[0], mask.shape[1] + 1), np.int64)
+    np.add.at(out, (row, start), number + 1)
+    np.subtract.at(out, (row, stop), number + 1)
+    return np.cumsum(out[:, :-1], axis=1), len(first)
 
 
 def fill_small_holes(mask: np.ndarray, max_area: float, pixel_area: float = 1.0) -> np.ndarray:
@@ -130,33 +142,3 @@ def watershed(cost: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.nda
                 out[y, x] = out[r, c]
                 heapq.heappush(heap, (max(level, cost[y, x]), n := n + 1, y, x))
     return out
-
-
-def polygonize(mask: np.ndarray) -> list[list[tuple[int, int]]]:
-    """The rings of a pixel set along pixel edges, as (x, y) corners: shells one way round, holes the other."""
-    step: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    p = np.pad(mask, 1)
-    for r, c in zip(*np.nonzero(mask), strict=True):
-        y, x = r + 1, c + 1
-        for outside, a, b in ((not p[y - 1, x], (c, r), (c + 1, r)), (not p[y, x + 1], (c + 1, r), (c + 1, r + 1)), (not p[y + 1, x], (c + 1, r + 1), (c, r + 1)), (not p[y, x - 1], (c, r + 1), (c, r))):
-            if outside:
-                step.setdefault(a, []).append(b)
-    rings = []
-    while step:
-        start = min(step)
-        ring, at, before = [start], start, None
-        while True:
-            options = step[at]
-            if before is not None and len(options) > 1:  # where two corners touch, turn so that the pixels stay joined
-                dx, dy = at[0] - before[0], at[1] - before[1]
-                options.sort(key=lambda q: (q[0] - at[0]) * -dy + (q[1] - at[1]) * dx)  # noqa: B023
-            to = options.pop(0)
-            if not options:
-                del step[at]
-            before, at = at, to
-            if at == start:
-                break
-            ring.append(at)
-        n = len(ring)
-        rings.append([ring[i] for i in range(n) if (ring[i][0] - ring[i - 1][0]) * (ring[(i + 1) % n][1] - ring[i][1]) != (ring[i][1] - ring[i - 1][1]) * (ring[(i + 1) % n][0] - ring[i][0])])
-    return rings

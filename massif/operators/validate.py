@@ -1,18 +1,24 @@
 """Invariants of parts as queries: each returns the rows that break one."""
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massif.functions import overlay
+
 
 def tolerance(round_digits: int = 2, saved: bool = False) -> float:
     return max(10.0**-round_digits, 1e-6) * (1 if saved else 1.0001)
 
 
 def ids(parts: DataFrame) -> DataFrame:
-    """part_id, problem: empty object ids and repeated part ids."""
+    """part_id, problem: empty object ids, repeated part ids and, where the rows have ``feature_id``, those that differ from it."""
     empty = parts.filter(F.col("object_id").isNull() | (F.trim(F.col("object_id").cast("string")) == "")).select("part_id", F.lit("empty object_id").alias("problem"))
     twice = parts.groupBy("part_id").count().filter("count > 1").select("part_id", F.lit("repeated part_id").alias("problem"))
-    return empty.unionByName(twice)
+    out = empty.unionByName(twice)
+    if "feature_id" in parts.columns:
+        out = out.unionByName(parts.filter(~F.col("feature_id").eqNullSafe(F.col("part_id"))).select("part_id", F.lit("the feature's id isn't part_id").alias("problem")))
+    return out
 
 
 def orphans(parts: DataFrame) -> DataFrame:
@@ -53,6 +59,51 @@ def vertical(parts: DataFrame, tol: float) -> DataFrame:
     return parts.select("part_id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("problem"))
 
 
+def part_roots(parts: DataFrame, deepest: int = 64) -> DataFrame:
+    """part_id, root_id, depth: each part's root and its distance from it, a join a level; parts of orphans and of circles have none."""
+    up = parts.select("part_id", "parent_part_id")
+    front = up.filter("parent_part_id is null").select("part_id", F.col("part_id").alias("root_id"), F.lit(0).alias("depth"))
+    below, out = up.filter("parent_part_id is not null"), front
+    for depth in range(1, min(deepest, _deepest(parts)) + 1):
+        front = below.join(front.select(F.col("part_id").alias("parent_part_id"), "root_id"), "parent_part_id").select("part_id", "root_id", F.lit(depth).alias("depth"))
+        out = out.unionByName(front)
+    return out
+
+
+def _deepest(parts: DataFrame) -> int:
+    """The number of levels that the parts name, at least: one more than the highest, so that a wrong level is still walked."""
+    return int(parts.agg(F.coalesce(F.max("part_level"), F.lit(0)).alias("m")).first().m) + 1
+
+
+def geometry(parts: DataFrame, saved: bool = False) -> DataFrame:
+    """part_id, problem: parts (``polygons``) that are no valid polygons, or reach outside their parent or their object's root.
+
+    A part may reach out by a millionth of its area or a square centimetre; a saved one, whose corners were
+    rounded, by a centimetre along its outline.
+    """
+    up = parts.select(F.col("part_id").alias("above"), F.col("polygons").alias("parent_shape"))
+    top = parts.filter("parent_part_id is null").groupBy("object_id").agg(F.min_by("polygons", "part_id").alias("root_shape"))
+    both = parts.select("object_id", "part_id", "parent_part_id", "polygons").join(up, F.col("parent_part_id") == F.col("above"), "left").join(top, "object_id", "left")
+
+    def run(batches):
+        from massif.operators.hierarchy import opened
+
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                own = opened(row.polygons) if row.polygons is not None else []
+                if not overlay.valid(own):
+                    out.append((row.part_id, "the geometry is invalid or has no area"))
+                    continue
+                slack = max(1e-6 * overlay.area(own), 1e-4) + (0.01 * overlay.length(own) if saved else 0.0)
+                for shape, name in ((row.parent_shape, "parent"), (row.root_shape, "root")):
+                    if row.parent_part_id is not None and shape is not None and overlay.outside(own, opened(shape)) > slack:
+                        out.append((row.part_id, f"it lies outside its {name}"))
+            yield pd.DataFrame(out, columns=["part_id", "problem"]).astype(object)
+
+    return both.mapInPandas(run, "part_id string, problem string")
+
+
 def volume(parts: DataFrame, tol: float) -> DataFrame:
     """Parts whose volume isn't area times height."""
     gap = F.abs(F.col("volume_m3") - F.col("area_m2") * F.col("part_height_m"))

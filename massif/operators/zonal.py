@@ -1,9 +1,14 @@
 """Zonal statistics of objects over pixels: one shuffle on object_id, exact percentiles, NULL for missing cells."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massif.config import EngineConfig
+from massif.functions import overlay
+from massif.operators import hierarchy
+from massif.sources.grid import Grid
 
 
 def missing_to_null(z: Column, nodata: float | None) -> Column:
@@ -86,13 +91,35 @@ def pixels_in(footprints: DataFrame, raster: DataFrame, tile: int = 8) -> DataFr
     return f.join(r, ["tr", "tc"]).filter(in_ring(F.col("col") + 0.5, F.col("row") + 0.5, F.col("xs"), F.col("ys"))).drop("tr", "tc", "xs", "ys")
 
 
+def pixels_of(footprints: DataFrame, grid: Grid, tasks: int = 32) -> DataFrame:
+    """object_id, row, col, dsm, dtm: the grid's cells whose centre is inside each footprint (polygons in the working system), read in tile order."""
+
+    def run(batches):
+        reader = grid.open()
+        for batch in batches:
+            for object_id, polygons in zip(batch["object_id"], batch["polygons"], strict=True):
+                region = hierarchy.opened(polygons) if polygons is not None else []
+                span = grid.span(overlay.bounds(region), 0) if region else None
+                if span is None:
+                    continue
+                row, col, height, width = span
+                inside = overlay.burn(grid.cells(region, row, col), (height, width))
+                dsm, dtm = reader.read(*span)
+                r, c = np.nonzero(inside)
+                yield pd.DataFrame({"object_id": object_id, "row": (r + row).astype("i4"), "col": (c + col).astype("i4"), "dsm": dsm[r, c], "dtm": dtm[r, c]})
+
+    found = hierarchy.in_tile_order(footprints.select("ord", "object_id", "polygons"), grid, tasks).mapInPandas(run, "object_id string, row int, col int, dsm double, dtm double")
+    return found.withColumns({z: missing_to_null(F.col(z), None) for z in ("dsm", "dtm")})
+
+
 def bilinear(coarse: DataFrame, targets: DataFrame) -> DataFrame:
-    """z at fractional (y, x) of the targets from the four cells around; NULL where one is missing.
+    """z at fractional (y, x) of the targets from the four cells around; missing cells leave their weight to the others, NULL where all are missing.
 
     coarse: row, col, z; targets: key columns, y, x in cell-centre coordinates of the coarse grid.
     """
     names = targets.columns
     corners = F.array(*(F.struct((F.floor("y") + i).cast("int").alias("row"), (F.floor("x") + j).cast("int").alias("col"), (F.abs(F.lit(1 - i) - (F.col("y") - F.floor("y"))) * F.abs(F.lit(1 - j) - (F.col("x") - F.floor("x")))).alias("w")) for i in (0, 1) for j in (0, 1)))
     asked = targets.withColumn("q", F.explode(corners)).select(*names, "q.row", "q.col", "q.w")
-    found = asked.join(coarse, ["row", "col"], "left")
-    return found.groupBy(*names).agg(F.when(F.count_if((F.col("w") > 0) & F.col("z").isNull()) == 0, F.sum(F.col("w") * F.coalesce("z", F.lit(0.0)))).alias("z"))
+    found = asked.join(coarse.filter("z is not null"), ["row", "col"], "left")
+    seen = F.sum(F.when(F.col("z").isNotNull(), F.col("w")))
+    return found.groupBy(*names).agg(F.when(seen > 0, F.sum(F.col("w") * F.col("z")) / seen).alias("z"))

@@ -17,16 +17,18 @@ ORACLES: dict[str, str] = {}
 CONFIG = EngineConfig()
 NOW = datetime(2024, 2, 15)
 
-PIXELS = """px AS (SELECT object_id, CAST(n // 24 AS INT) AS row, CAST(n % 24 AS INT) AS col, 10 + CAST(0.25 AS DOUBLE) * (n % 24) + CAST(0.125 AS DOUBLE) * (n // 24) + q AS dsm,
-  10 + CAST(0.25 AS DOUBLE) * (n % 24) + CAST(0.125 AS DOUBLE) * (n // 24) AS dtm FROM (SELECT l_suppkey AS object_id, l_quantity AS q,
-  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) - 1 AS n FROM lineitem)),
+PIXELS = """px0 AS (SELECT l_suppkey AS object_id, l_quantity AS q, l_linenumber AS ln, l_tax, l_discount,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) - 1 AS n FROM lineitem),
+px1 AS (SELECT *, CAST(n // 24 AS INT) AS row, CAST(n % 24 AS INT) AS col, 10 + CAST(0.25 AS DOUBLE) * (n % 24) + CAST(0.125 AS DOUBLE) * (n // 24) + CAST(0.5 AS DOUBLE) * ((n // 24 * (n % 24)) % 7) AS dtm FROM px0),
+px AS (SELECT object_id, row, col, CASE WHEN object_id % 97 = 5 OR (ln = 4 AND l_tax > 0.045) OR (ln = 3 AND l_tax > 0.065) OR (ln = 2 AND l_discount > 0.085) THEN NULL ELSE dtm + q END AS dsm, dtm FROM px1),
 h AS (SELECT *, dsm - dtm AS h FROM px)"""
 TOWERS = """grid AS (SELECT CAST(i // 24 AS INT) AS row, CAST(i % 24 AS INT) AS col FROM range(576) AS t(i)),
 tw AS (SELECT s_suppkey AS object_id, row, col, CAST(CASE WHEN row BETWEEN 8 AND 9 AND col BETWEEN 8 AND 9 THEN 0 WHEN row = 5 AND col = 5 + s_suppkey % 3 THEN 0
   WHEN row BETWEEN 10 AND 14 AND col BETWEEN 10 AND 14 + s_suppkey % 4 THEN 20 + s_suppkey % 7 WHEN row BETWEEN 3 AND 16 AND col BETWEEN 3 AND 16 THEN 6 + s_suppkey % 5 ELSE 0 END AS DOUBLE) AS h FROM supplier, grid)"""
-PARTS = """parts AS (SELECT *, 10.0::DOUBLE AS ground, 10 + base AS base_elev, 10 + top + CASE WHEN p_size % 31 = 0 THEN 0.5 ELSE 0 END AS top_elev, (100 - 20 * n)::DOUBLE AS area,
-  (100 - 20 * n) * (top - base) + CASE WHEN p_size % 19 = 0 THEN 7 ELSE 0 END AS volume, CASE WHEN p_size % 37 = 0 THEN 1.5 ELSE 1.0 END AS cov,
-  CASE WHEN n = 0 THEN NULL WHEN p_size % 23 = 0 THEN 'nowhere' ELSE printf('%d-P%02d', obj, n - 1) END AS parent, printf('%d-P%02d', obj, n) AS pid, n + CASE WHEN p_size % 29 = 0 THEN 1 ELSE 0 END AS lvl
+PARTS = """parts AS (SELECT *, 10.0::DOUBLE AS ground, 10 + base + CASE WHEN p_size % 13 = 0 THEN 0.25 ELSE 0 END AS base_elev, 10 + top + CASE WHEN p_size % 31 = 0 THEN 0.5 ELSE 0 END AS top_elev, (100 - 20 * n)::DOUBLE AS area,
+  CASE WHEN p_size % 11 = 0 THEN base - top ELSE top - base END AS height, (100 - 20 * n) * (top - base) + CASE WHEN p_size % 19 = 0 THEN 7 ELSE 0 END AS volume, CASE WHEN p_size % 37 = 0 THEN 1.5 ELSE 1.0 END AS cov,
+  CASE WHEN (n = 0 AND p_size % 43 <> 0) OR (n = 1 AND p_size % 41 = 0) THEN NULL WHEN n = 0 OR p_size % 23 = 0 THEN 'nowhere' WHEN p_size % 47 = 0 THEN printf('%d-P%02d', obj + 1, n - 1) ELSE printf('%d-P%02d', obj, n - 1) END AS parent,
+  printf('%d-P%02d', obj, n) AS pid, n + CASE WHEN p_size % 29 = 0 THEN 1 ELSE 0 END AS lvl
   FROM (SELECT *, CAST(p_partkey % 4 AS BIGINT) AS n, CAST(p_partkey // 4 AS BIGINT) AS obj, (5 * (p_partkey % 4) + CASE WHEN p_size % 17 = 0 THEN 1 ELSE 0 END)::DOUBLE AS base, (5 * (p_partkey % 4) + 5)::DOUBLE AS top FROM part))"""
 JOBS = """ev AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'cancelling' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS state FROM events),
 last AS (SELECT job_id, arg_max(state, (ts, seq)) AS state, max(ts) AS ts FROM ev GROUP BY job_id)"""
@@ -50,7 +52,7 @@ def _round(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # ---- zonal ----
 
-_PROFILE = """prof AS (SELECT object_id, count(*) AS expected_pixel_count, count(h) AS valid_pixel_count, count(*) FILTER (h >= 2) AS building_pixel_count, min(dtm) AS ground_elevation_m,
+_PROFILE = """prof AS (SELECT object_id, count(*) AS expected_pixel_count, count(h) AS valid_pixel_count, count(*) FILTER (h >= 2) AS building_pixel_count, min(dtm) FILTER (h IS NOT NULL) AS ground_elevation_m,
   quantile_cont(h, 0.05) FILTER (h >= 2) AS p05, quantile_cont(h, 0.95) FILTER (h >= 2) AS p95, avg(h) FILTER (h >= 2) AS mean_building_height, avg(h) AS mean_height FROM h GROUP BY object_id)"""
 
 
@@ -64,20 +66,20 @@ def _ground(how, sql):
         return _round(scene.pixels(spark, sf_dir).groupBy("object_id").agg(zonal.ground(how).alias("ground_m")))
 
     run.__name__ = f"ground_stat_{how}"
-    query(f"WITH {PIXELS} SELECT object_id, round({sql}(dtm), 6) AS ground_m FROM h GROUP BY object_id")(run)
+    query(f"WITH {PIXELS} SELECT object_id, round({sql}(dtm) FILTER (h IS NOT NULL), 6) AS ground_m FROM h GROUP BY object_id")(run)
 
 
 for _how, _sql in (("min", "min"), ("mean", "avg"), ("median", "median")):
     _ground(_how, _sql)
 
 
-@query(f"WITH {PIXELS}, {_PROFILE} SELECT object_id, expected_pixel_count, valid_pixel_count, building_pixel_count AS support_pixel_count, round(valid_pixel_count / expected_pixel_count, 4) AS valid_coverage_ratio FROM prof")
+@query(f"WITH {PIXELS}, {_PROFILE} SELECT object_id, expected_pixel_count, valid_pixel_count, building_pixel_count AS support_pixel_count, CAST(printf('%.4f', valid_pixel_count / expected_pixel_count) AS DOUBLE) AS valid_coverage_ratio FROM prof")
 def raster_evidence(spark, sf_dir):
     p = zonal.profile(scene.pixels(spark, sf_dir))
-    return p.select("object_id", "expected_pixel_count", "valid_pixel_count", F.col("building_pixel_count").alias("support_pixel_count"), F.round(zonal.coverage(), 4).alias("valid_coverage_ratio"))
+    return p.select("object_id", "expected_pixel_count", "valid_pixel_count", F.col("building_pixel_count").alias("support_pixel_count"), scalar.half_even(zonal.coverage(), 4).alias("valid_coverage_ratio"))
 
 
-_FOOT = "foot AS (SELECT s_suppkey AS object_id FROM supplier UNION ALL SELECT -c_custkey - 1 FROM customer WHERE c_custkey < 20)"
+_FOOT = "foot AS (SELECT s_suppkey AS object_id FROM supplier UNION ALL SELECT -c_custkey - 1 FROM customer)"
 _MASS = f"""mass AS (SELECT foot.object_id, CASE WHEN expected_pixel_count IS NULL THEN 'OUTSIDE_ANALYSIS_GRID' WHEN valid_pixel_count < 1 THEN 'NO_VALID_DSM_DTM_PIXELS' WHEN building_pixel_count < 3 THEN 'SINGLE_MASS_INSUFFICIENT_BUILDING_PIXELS'
   WHEN p95 - p05 < {CONFIG.height_diff_threshold_m} THEN 'SINGLE_MASS_UNIFORM_HEIGHT' ELSE 'MULTIPLE_HEIGHTS' END AS reason, CASE WHEN building_pixel_count < 3 THEN mean_height ELSE mean_building_height END AS height_m, ground_elevation_m, expected_pixel_count
   FROM foot LEFT JOIN prof USING (object_id))"""
@@ -89,28 +91,38 @@ def single_mass_reason(spark, sf_dir):
 
 
 @query(f"""WITH {PIXELS}, {_PROFILE}, {_FOOT}, {_MASS} SELECT object_id, object_id || '-P00' AS part_id, 0 AS part_level, ground_elevation_m, round(height_m, 4) AS top_height_agl_m, CAST(expected_pixel_count AS DOUBLE) AS area_m2,
-  round(round(height_m, 4) * expected_pixel_count, 4) AS volume_m3, round(ground_elevation_m + height_m, 4) AS top_elevation_m FROM mass WHERE expected_pixel_count IS NOT NULL""")
+  round(round(height_m, 4) * expected_pixel_count, 4) AS volume_m3, round(ground_elevation_m + height_m, 4) AS top_elevation_m FROM mass WHERE ground_elevation_m IS NOT NULL""")
 def single_mass_parts(spark, sf_dir):
-    m = zonal.single_mass(scene.footprints(spark, sf_dir), scene.pixels(spark, sf_dir)).filter("expected_pixel_count is not null")
+    m = zonal.single_mass(scene.footprints(spark, sf_dir), scene.pixels(spark, sf_dir)).filter("ground_elevation_m is not null")
     top, area = F.round("height_m", 4), F.col("expected_pixel_count").cast("double")
     return m.select("object_id", F.format_string("%d-P%02d", "object_id", F.lit(0)).alias("part_id"), F.lit(0).alias("part_level"), "ground_elevation_m", top.alias("top_height_agl_m"), area.alias("area_m2"), F.round(top * area, 4).alias("volume_m3"), F.round(F.col("ground_elevation_m") + F.col("height_m"), 4).alias("top_elevation_m"))
 
 
-@query(f"""WITH {PIXELS}, f AS (SELECT s_suppkey AS object_id, s_suppkey % 5 AS x0, s_suppkey % 3 AS y0, s_suppkey % 5 + 7 + s_suppkey % 9 AS x1, s_suppkey % 3 + 6 + s_suppkey % 11 AS y1 FROM supplier), one AS (SELECT * FROM h WHERE object_id = 0)
-  SELECT f.object_id, count(*) AS n, round(sum(h), 4) AS total_h FROM f JOIN one ON col + 0.5 > x0 AND col + 0.5 < x1 AND row + 0.5 > y0 AND row + 0.5 < y1 GROUP BY f.object_id""")
+@query(f"""WITH {PIXELS}, f AS (SELECT s_suppkey AS object_id, s_suppkey % 5 AS x0, s_suppkey % 3 AS y0, s_suppkey % 5 + 7 + s_suppkey % 9 AS x1, s_suppkey % 3 + 6 + s_suppkey % 11 AS y1 FROM supplier)
+  SELECT f.object_id, count(*) AS n, round(sum(h), 4) AS total_h FROM f JOIN h ON h.object_id = f.object_id AND col + 0.5 > x0 AND col + 0.5 < x1 AND row + 0.5 > y0 AND row + 0.5 < y1 GROUP BY f.object_id""")
 def range_join_footprint_pixels(spark, sf_dir):
-    foot = scene.footprints(spark, sf_dir).filter("object_id >= 0").select("object_id", F.array("x0", "x1", "x1", "x0").alias("xs"), F.array("y0", "y0", "y1", "y1").alias("ys"))
-    own = zonal.ndsm(scene.pixels(spark, sf_dir)).filter("object_id = 0").select("row", "col", "ndsm")
-    return zonal.pixels_in(foot, own).groupBy("object_id").agg(F.count("*").alias("n"), F.round(F.sum("ndsm"), 4).alias("total_h"))
+    """All footprints against the cells of all objects, laid side by side on one grid."""
+    left = scene.APART * F.col("object_id")
+    foot = scene.footprints(spark, sf_dir).select("object_id", F.array("x0", "x1", "x1", "x0").alias("xs"), F.array("y0", "y0", "y1", "y1").alias("ys")).withColumn("xs", F.transform("xs", lambda x: x + left))
+    every = zonal.ndsm(scene.pixels(spark, sf_dir)).select("row", (F.col("col") + left).cast("int").alias("col"), "ndsm")
+    return zonal.pixels_in(foot, every).groupBy("object_id").agg(F.count("*").alias("n"), F.round(F.sum("ndsm"), 4).alias("total_h"))
 
 
-@query(f"""WITH {PIXELS}, z AS (SELECT row, col, dtm AS z FROM px WHERE object_id = 0), t AS (SELECT c_custkey AS id, 1 + CAST(c_custkey % 16 AS DOUBLE) / 4 + CAST(0.125 AS DOUBLE) AS y, 1 + CAST(c_custkey % 64 AS DOUBLE) / 4 + CAST(0.0625 AS DOUBLE) AS x FROM customer)
-  SELECT id, round(10 + 0.25 * x + 0.125 * y, 6) AS z FROM t""")
+@query(f"""WITH {PIXELS}, t AS (SELECT object_id, row, col, dy, dx, w FROM px, (VALUES (0, 0, 0.46875), (0, 1, 0.15625), (1, 0, 0.28125), (1, 1, 0.09375)) AS c(dy, dx, w))
+  SELECT t.object_id, t.row, t.col, round(sum(CAST(w AS DOUBLE) * z.dsm) / sum(CAST(w AS DOUBLE)) FILTER (z.dsm IS NOT NULL), 6) AS z FROM t LEFT JOIN px z ON z.object_id = t.object_id AND z.row = t.row + dy AND z.col = t.col + dx GROUP BY ALL""")
 def bilinear_terrain(spark, sf_dir):
-    coarse = scene.pixels(spark, sf_dir).filter("object_id = 0").select("row", "col", F.col("dtm").alias("z"))
-    k = F.col("c_custkey")
-    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), (1 + (k % 16) / 4 + 0.125).alias("y"), (1 + (k % 64) / 4 + 0.0625).alias("x"))
-    return zonal.bilinear(coarse, asked).select("id", F.round("z", 6).alias("z"))
+    """The surface with its gaps, at a point beside every cell of every object: 3/8 down and 1/4 to the right."""
+    left = scene.APART * F.col("object_id")
+    cells = scene.pixels(spark, sf_dir)
+    asked = cells.select("object_id", "row", "col", (F.col("row") + 0.375).alias("y"), (F.col("col") + left + 0.25).alias("x"))
+    coarse = cells.select(F.col("row").alias("row"), (F.col("col") + left).cast("int").alias("col"), F.col("dsm").alias("z"))
+    own = asked.select("object_id", F.col("row").alias("at_row"), F.col("col").alias("at_col"), "y", "x")
+    return zonal.bilinear(coarse, own).select("object_id", F.col("at_row").alias("row"), F.col("at_col").alias("col"), F.round("z", 6).alias("z"))
+
+
+@query(f"WITH {PIXELS} SELECT object_id, row, col, dsm FROM px")
+def masked_cells(spark, sf_dir):
+    return scene.pixels(spark, sf_dir).select("object_id", "row", "col", "dsm")
 
 
 # ---- height classes ----
@@ -170,12 +182,22 @@ def level_merge(spark, sf_dir):
     return _round(cluster.levels(counted, CONFIG.min_footprint_change_ratio))
 
 
-@query()
+#: Every object of the towers' scene is a square of 24 cells with a podium and a tower on it, whose heights are the only two.
+_TOWER_PARTS = f"""{TOWERS}, ob AS (SELECT s_suppkey AS object_id, 6 + s_suppkey % 5 AS low, 20 + s_suppkey % 7 AS high, 5 * (5 + s_suppkey % 4) AS cells, 5 + s_suppkey % 4 AS wide, m.n FROM supplier JOIN (SELECT object_id, count(*) AS n FROM tw WHERE h >= 2 GROUP BY 1) m ON m.object_id = s_suppkey),
+  pt AS (SELECT object_id, object_id || '-P00' AS part_id, NULL AS parent_part_id, 0 AS part_level, 0 AS base, low AS top, 576 AS cells, 24 AS long, 24 AS wide, n AS support, 'AUTHORITATIVE_ROOT' AS reason, NULL AS share, 'authoritative_footprint' AS method FROM ob
+    UNION ALL SELECT object_id, object_id || '-P01', object_id || '-P00', 1, low, high, cells, wide, 5, cells, 'HEIGHT_AND_FOOTPRINT_CHANGE', 1, 'simplified' FROM ob)"""
+
+
+@query(f"""WITH {_TOWER_PARTS} SELECT object_id, part_id, parent_part_id, CAST(part_level AS INT) AS part_level, 10::DOUBLE AS ground_elevation_m, base::DOUBLE AS base_height_agl_m, top::DOUBLE AS top_height_agl_m, (top - base)::DOUBLE AS part_height_m,
+  (10 + base)::DOUBLE AS base_elevation_m, (10 + top)::DOUBLE AS top_elevation_m, cells::DOUBLE AS area_m2, (2 * (long + wide))::DOUBLE AS perimeter_m, greatest(long, wide)::DOUBLE AS oriented_length_m, least(long, wide)::DOUBLE AS oriented_width_m,
+  'minimum_rotated_rectangle' AS dimension_method, (cells * (top - base))::DOUBLE AS volume_m3, (top - base)::DOUBLE AS delta_z_m, CAST(cells AS BIGINT) AS expected_pixel_count, CAST(cells AS BIGINT) AS valid_pixel_count, CAST(support AS BIGINT) AS support_pixel_count,
+  1::DOUBLE AS valid_coverage_ratio, reason AS decomposition_reason, share::DOUBLE AS parent_containment_ratio, CAST(0 AS INT) AS interior_ring_count, method AS geometry_method FROM pt""")
 def part_hierarchy(spark, sf_dir):
-    return hierarchy.parts(scene.towers(spark, sf_dir))
+    """All columns of all parts but the direction, which is arbitrary for squares."""
+    return hierarchy.parts(scene.towers(spark, sf_dir)).drop("orientation_deg")
 
 
-@query()
+@query(f"WITH {_TOWER_PARTS} SELECT count(*) FILTER (part_level = 0) AS n_objects, count(*) AS n_parts, count(DISTINCT object_id) FILTER (part_level > 0) AS n_decomposed, CAST(max(part_level) AS INT) AS max_level, max(top)::DOUBLE AS max_top_m, CAST(sum(cells * (top - base)) AS DOUBLE) AS total_volume_m3 FROM pt")
 def run_summary(spark, sf_dir):
     return hierarchy.summary(hierarchy.parts(scene.towers(spark, sf_dir)))
 
@@ -197,7 +219,7 @@ def binary_closing(spark, sf_dir):
     return raster.closing(mask, 2, scene.WIDTH, scene.WIDTH)
 
 
-@query(f"WITH {PIXELS} SELECT object_id, arg_max(row, (h, -row, -col)) AS row, arg_max(col, (h, -row, -col)) AS col, max(h) AS h FROM h GROUP BY object_id")
+@query(f"WITH {PIXELS} SELECT object_id, arg_max(row, (h, -row, -col)) AS row, arg_max(col, (h, -row, -col)) AS col, max(h) AS h FROM h WHERE h IS NOT NULL GROUP BY object_id")
 def apex_pixel(spark, sf_dir):
     return trees.apex_pixel(scene.pixels(spark, sf_dir))
 
@@ -219,7 +241,7 @@ def best_parent_overlap(spark, sf_dir):
 
 _CANOPY = f"""{PIXELS}, hc AS (SELECT *, CASE WHEN h IS NOT NULL THEN least(greatest(h, 0), 150) END AS hh FROM h),
 cp AS (SELECT object_id, count(hh) AS n_valid, quantile_cont(hh, 0.25) AS p25, quantile_cont(hh, 0.5) AS p50, quantile_cont(hh, 0.75) AS p75, quantile_cont(hh, 0.9) AS p90, quantile_cont(hh, 0.95) AS p95, max(hh) AS h_max, min(hh) AS h_min,
-  coalesce(median(dtm) FILTER (dtm > -20 AND dtm < 2000), 0) AS ground_m FROM hc GROUP BY object_id)"""
+  coalesce(median(dtm) FILTER (dtm > -20 AND dtm < 2000 AND h IS NOT NULL), 0) AS ground_m FROM hc GROUP BY object_id)"""
 
 
 @query(f"WITH {_CANOPY} SELECT object_id, n_valid, {', '.join(f'round({c}, 6) AS {c}' for c in ('p25', 'p50', 'p75', 'p90', 'p95', 'h_max', 'h_min', 'ground_m'))} FROM cp")
@@ -235,38 +257,40 @@ def canopy_reject_reason(spark, sf_dir):
 
 
 @query(f"""WITH {_CANOPY}, k AS (SELECT object_id, p50, h_max, p50 < 20 + 10 AND h_max >= 25 AS spills0, p50 < 20 AND h_max >= 25 AS spills, hh, CASE WHEN hh <= least(35, p50 + 2.5 * greatest(2, p75 - p25)) AND hh > 0 THEN hh END AS kept FROM hc JOIN cp USING (object_id))
-  SELECT object_id, round(least(CASE WHEN any_value(spills) THEN CASE WHEN count(kept) >= 3 THEN quantile_cont(kept, 0.95) ELSE any_value(p50) END ELSE any_value(h_max) END, {CONFIG.max_bio_height_m}), 6) AS apex_m FROM k GROUP BY object_id""")
+  SELECT object_id, round(CASE WHEN any_value(h_max) IS NOT NULL THEN least(CASE WHEN any_value(spills) THEN CASE WHEN count(kept) >= 3 THEN quantile_cont(kept, 0.95) ELSE any_value(p50) END ELSE any_value(h_max) END, {CONFIG.max_bio_height_m}) END, 6) AS apex_m FROM k GROUP BY object_id""")
 def wall_cleaning(spark, sf_dir):
     px = scene.pixels(spark, sf_dir)
     return _round(trees.clean_apex(px, trees.canopy_profile(px)))
 
 
 _TREES = "t AS (SELECT p_partkey AS tree_id, CAST(p_size AS DOUBLE) AS height_m, p_retailprice / 10 AS area_m2 FROM part)"
-_CROWN = f"{_TREES}, c AS (SELECT *, round(least(round(2 * sqrt(greatest(round(area_m2, 2), 0.1) / pi()), 2), greatest(2.5, least(18, 1.5 * height_m))), 2) AS crown_diameter_m FROM t)"
-_ALLO = f"""{_CROWN}, b AS (SELECT *, 0.55 * pow(greatest(height_m, 0.5), 0.92) * pow(greatest(crown_diameter_m, 0.5), 0.42) AS dbh0 FROM c), a AS (SELECT *, round(dbh0, 1) AS dbh_cm, 0.0673 * pow({CONFIG.wood_density} * round(dbh0, 1) * round(dbh0, 1) * greatest(height_m, 0.5), 0.976) AS agb FROM b)"""
+_HE = lambda x, d: f"CAST(printf('%.{d}f', {x}) AS DOUBLE)"  # exact: halves of the binary value to even
+_CROWN = f"{_TREES}, c AS (SELECT *, {_HE(f'least({_HE(f"2 * sqrt(greatest({_HE("area_m2", 2)}, 0.1) / pi())", 2)}, greatest(2.5, least(18, 1.5 * height_m)))', 2)} AS crown_diameter_m FROM t)"
+_ALLO = f"""{_CROWN}, b AS (SELECT *, {_HE("0.55 * pow(greatest(height_m, 0.5), 0.92) * pow(greatest(crown_diameter_m, 0.5), 0.42)", 1)} AS dbh_cm FROM c),
+  g AS (SELECT *, {_HE(f"0.0673 * pow({CONFIG.wood_density} * dbh_cm * dbh_cm * greatest(height_m, 0.5), 0.976)", 1)} AS biomass_kg FROM b), k AS (SELECT *, {_HE(f"biomass_kg * {CONFIG.carbon_fraction}", 1)} AS carbon_kg FROM g),
+  a AS (SELECT *, {_HE("carbon_kg * 3.667", 1)} AS co2e_kg, {_HE("greatest(0.15, dbh_cm / 100)", 2)} AS trunk_diameter_m FROM k)"""
 
 
 def _trees(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("tree_id"), F.col("p_size").cast("double").alias("height_m"), (F.col("p_retailprice") / 10).alias("area_m2"))
 
 
-@query(f"WITH {_ALLO} SELECT tree_id, crown_diameter_m, dbh_cm, round(agb, 1) AS biomass_kg FROM a")
+@query(f"WITH {_ALLO} SELECT tree_id, crown_diameter_m, dbh_cm, biomass_kg, carbon_kg, co2e_kg, trunk_diameter_m FROM a")
 def tree_allometry(spark, sf_dir):
-    return trees.allometry(trees.crown(_trees(spark, sf_dir))).select("tree_id", "crown_diameter_m", "dbh_cm", "biomass_kg")
+    return trees.allometry(trees.crown(_trees(spark, sf_dir))).select("tree_id", "crown_diameter_m", "dbh_cm", "biomass_kg", "carbon_kg", "co2e_kg", "trunk_diameter_m")
 
 
-@query(f"""WITH {_TREES}, k AS (SELECT *, round(height_m * {CONFIG.trunk_ratio}, 2) AS trunk_m, round(height_m - round(height_m * {CONFIG.trunk_ratio}, 2), 2) AS crown_m FROM t),
-  n AS (SELECT *, CASE WHEN crown_m >= 2.0 THEN 3 WHEN crown_m >= 0.8 THEN 2 ELSE 1 END AS n FROM k), e AS (SELECT *, unnest(range(0, n)) AS tier FROM n),
-  x AS (SELECT tree_id, CAST(tier AS INT) AS tier, round(trunk_m + tier * crown_m / n, 2) AS base_m, CASE WHEN tier = n - 1 THEN round(height_m, 2) ELSE round(trunk_m + (tier + 1) * crown_m / n, 2) END AS top_m FROM e)
-  SELECT * FROM x WHERE top_m - base_m > 0.05""")
+@query(f"""WITH {_TREES}, k AS (SELECT *, {_HE(f"height_m * {CONFIG.trunk_ratio}", 2)} AS trunk_m FROM t), q AS (SELECT *, {_HE("height_m - trunk_m", 2)} AS crown_m FROM k),
+  n AS (SELECT *, CASE WHEN crown_m >= 2.0 THEN 3 WHEN crown_m >= 0.8 THEN 2 ELSE 1 END AS n FROM q), e AS (SELECT *, unnest(range(0, n)) AS tier FROM n),
+  x AS (SELECT tree_id, CAST(tier AS INT) AS tier, {_HE("trunk_m + tier * (crown_m / n)", 2)} AS base_m, CASE WHEN tier = n - 1 THEN {_HE("height_m", 2)} ELSE {_HE("trunk_m + (tier + 1) * (crown_m / n)", 2)} END AS top_m FROM e)
+  SELECT * FROM x WHERE {_HE("top_m - base_m", 2)} > 0.05""")
 def tree_tiers(spark, sf_dir):
     return trees.tiers(_trees(spark, sf_dir))
 
 
-@query(f"WITH {_ALLO} SELECT count(*) AS n_trees, round(avg(height_m), 4) AS mean_height_m, min(height_m) AS min_height_m, max(height_m) AS max_height_m, round(sum(round(agb, 1)) / 1000, 2) AS biomass_t FROM a")
+@query(f"WITH {_ALLO} SELECT count(*) AS n_trees, {_HE('avg(height_m)', 2)} AS mean_height_m, {_HE('min(height_m)', 2)} AS min_height_m, {_HE('max(height_m)', 2)} AS max_height_m, {_HE('sum(biomass_kg) / 1000', 3)} AS biomass_t, {_HE('sum(carbon_kg) / 1000', 3)} AS carbon_t, {_HE('sum(co2e_kg) / 1000', 3)} AS co2e_t FROM a")
 def tree_summary(spark, sf_dir):
-    a = trees.allometry(trees.crown(_trees(spark, sf_dir)))
-    return a.agg(F.count("*").alias("n_trees"), F.round(F.avg("height_m"), 4).alias("mean_height_m"), F.min("height_m").alias("min_height_m"), F.max("height_m").alias("max_height_m"), F.round(F.sum("biomass_kg") / 1000, 2).alias("biomass_t"))
+    return trees.summary(trees.allometry(trees.crown(_trees(spark, sf_dir))))
 
 
 # ---- invariants ----
@@ -279,67 +303,112 @@ def validate_orphans(spark, sf_dir):
     return validate.orphans(scene.parts(spark, sf_dir))
 
 
-@query(f"WITH {PARTS} SELECT obj AS object_id, count(*) FILTER (parent IS NULL) AS n_roots FROM (SELECT * FROM parts WHERE p_size <> 7) GROUP BY obj HAVING count(*) FILTER (parent IS NULL) <> 1")
+@query(f"WITH {PARTS} SELECT obj AS object_id, count(*) FILTER (parent IS NULL) AS n_roots FROM parts GROUP BY obj HAVING count(*) FILTER (parent IS NULL) <> 1")
 def validate_roots(spark, sf_dir):
-    keep = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size <> 7").select(F.floor(F.col("p_partkey") / 4).cast("long").alias("o"), (F.col("p_partkey") % 4).alias("n"))
-    ids = keep.select(F.format_string("%d-P%02d", "o", "n").alias("part_id"))
-    return validate.roots(scene.parts(spark, sf_dir).join(ids, "part_id", "left_semi"))
+    return validate.roots(scene.parts(spark, sf_dir))
 
 
 @query(f"""WITH {PARTS} SELECT pid AS part_id, 'a root''s level isn''t 0' AS problem FROM parts WHERE parent IS NULL AND lvl <> 0
+  UNION ALL SELECT a.pid, 'the parent is of another object' FROM parts a JOIN parts b ON a.parent = b.pid WHERE a.obj <> b.obj
   UNION ALL SELECT a.pid, 'the level isn''t the parent''s plus 1' FROM parts a JOIN parts b ON a.parent = b.pid WHERE a.lvl <> b.lvl + 1
   UNION ALL SELECT a.pid, 'the base isn''t the parent''s top' FROM parts a JOIN parts b ON a.parent = b.pid WHERE abs(a.base - b.top) > {TOL}""")
 def validate_hierarchy(spark, sf_dir):
     return validate.hierarchy(scene.parts(spark, sf_dir), TOL)
 
 
-@query(f"""WITH {PARTS} SELECT pid AS part_id, 'top elevation' AS problem FROM parts WHERE abs(ground + top - top_elev) > {TOL} UNION ALL SELECT pid, 'coverage' FROM parts WHERE cov NOT BETWEEN 0 AND 1""")
+@query(f"""WITH {PARTS} SELECT pid AS part_id, 'top elevation' AS problem FROM parts WHERE abs(ground + top - top_elev) > {TOL} UNION ALL SELECT pid, 'coverage' FROM parts WHERE cov NOT BETWEEN 0 AND 1
+  UNION ALL SELECT pid, 'base elevation' FROM parts WHERE abs(ground + base - base_elev) > {TOL} UNION ALL SELECT pid, 'height' FROM parts WHERE abs(top - base - height) > {TOL}
+  UNION ALL SELECT pid, 'negative height' FROM parts WHERE height < 0 OR (parent IS NOT NULL AND height <= 0)""")
 def validate_vertical(spark, sf_dir):
     return validate.vertical(scene.parts(spark, sf_dir), TOL)
 
 
-@query(f"WITH {PARTS} SELECT pid AS part_id, volume AS volume_m3 FROM parts WHERE abs(volume - area * (top - base)) > greatest(0.1, {TOL} * greatest(volume, 1))")
+@query(f"WITH {PARTS} SELECT pid AS part_id, volume AS volume_m3 FROM parts WHERE abs(volume - area * height) > greatest(0.1, {TOL} * greatest(volume, 1))")
 def validate_volume(spark, sf_dir):
     return validate.volume(scene.parts(spark, sf_dir), TOL)
 
 
-@query(f"WITH {PARTS} SELECT 'object ' || obj AS part_id, 'repeated part_id' AS problem FROM parts WHERE false UNION ALL SELECT substr(pid, -3), 'repeated part_id' FROM parts GROUP BY 1 HAVING count(*) > 1")
+@query(f"""WITH {PARTS} SELECT substr(pid, -3) AS part_id, 'repeated part_id' AS problem FROM parts GROUP BY 1 HAVING count(*) > 1
+  UNION ALL SELECT substr(pid, -3), 'empty object_id' FROM parts WHERE obj % 5 < 2 UNION ALL SELECT substr(pid, -3), 'the feature''s id isn''t part_id' FROM parts WHERE obj % 3 = 0""")
 def validate_ids(spark, sf_dir):
-    return validate.ids(scene.parts(spark, sf_dir).withColumn("part_id", F.substring("part_id", -3, 3)))
+    p = scene.parts(spark, sf_dir).withColumn("part_id", F.substring("part_id", -3, 3))
+    named = p.withColumn("feature_id", F.when(F.col("object_id") % 3 == 0, F.when(F.col("object_id") % 2 == 0, "other")).otherwise(F.col("part_id")))
+    blank = F.when(F.col("object_id") % 5 == 0, " ").when(F.col("object_id") % 5 == 1, None).otherwise(F.col("object_id").cast("string"))
+    return validate.ids(named.withColumn("object_id", blank))
+
+
+@query(f"WITH RECURSIVE {PARTS}, walk AS (SELECT pid, pid AS root, 0 AS depth FROM parts WHERE parent IS NULL UNION ALL SELECT parts.pid, root, depth + 1 FROM parts JOIN walk ON parts.parent = walk.pid) SELECT pid AS part_id, root AS root_id, depth FROM walk")
+def part_roots(spark, sf_dir):
+    return validate.part_roots(scene.parts(spark, sf_dir))
+
+
+#: Boxes within boxes: the overlap of a part with its parent and its root has a closed form.
+_SHAPES = """sh AS (SELECT obj, pid, parent, n, x0, x0 + side AS x1, 4.0 * n AS y0, 4.0 * n + CASE WHEN p_size % 37 = 0 THEN 0 ELSE side END AS y1 FROM (SELECT *, (40 - 8 * n)::DOUBLE AS side, 4.0 * n + CASE WHEN p_size % 9 = 0 THEN 3 + p_size / 2 ELSE 0 END AS x0,
+  printf('%d-P%02d', obj, n) AS pid, CASE WHEN n > 0 THEN printf('%d-P%02d', obj, n - 1) END AS parent FROM (SELECT p_size, CAST(p_partkey % 4 AS BIGINT) AS n, CAST(p_partkey // 4 AS BIGINT) AS obj FROM part))),
+  pr AS (SELECT a.*, b.pid AS bpid, (a.x1 - a.x0) * (a.y1 - a.y0) AS area, CASE WHEN b.y1 > b.y0 THEN greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) ELSE 0 END AS shared, r.obj AS robj,
+  CASE WHEN r.y1 > r.y0 THEN greatest(0, least(a.x1, r.x1) - greatest(a.x0, r.x0)) * greatest(0, least(a.y1, r.y1) - greatest(a.y0, r.y0)) ELSE 0 END AS in_root FROM sh a LEFT JOIN sh b ON b.pid = a.parent LEFT JOIN sh r ON r.obj = a.obj AND r.n = 0)"""
+
+
+@query(f"""WITH {_SHAPES} SELECT pid AS part_id, 'the geometry is invalid or has no area' AS problem FROM pr WHERE area = 0 UNION ALL SELECT pid, 'it lies outside its parent' FROM pr WHERE area > 0 AND bpid IS NOT NULL AND area - shared > greatest(1e-6 * area, 1e-4)
+  UNION ALL SELECT pid, 'it lies outside its root' FROM pr WHERE area > 0 AND robj IS NOT NULL AND n > 0 AND area - in_root > greatest(1e-6 * area, 1e-4)""")
+def validate_geometry(spark, sf_dir):
+    return validate.geometry(scene.part_shapes(spark, sf_dir))
+
+
+@query(f"WITH {_SHAPES} SELECT pid AS part_id, parent AS parent_part_id, round(shared, 6) AS shared_m2, round(area - shared, 6) AS outside_m2, round(CASE WHEN area > 0 THEN shared / area ELSE 0 END, 6) AS share FROM pr WHERE bpid IS NOT NULL")
+def polygon_overlap(spark, sf_dir):
+    shapes_of = scene.part_shapes(spark, sf_dir)
+    up = shapes_of.select(F.col("part_id").alias("above"), F.col("polygons").alias("b"))
+    return _round(shape_columns.overlap(shapes_of.join(up, F.col("parent_part_id") == F.col("above")).select("part_id", "parent_part_id", F.col("polygons").alias("a"), "b")))
 
 
-@query(f"WITH RECURSIVE {PARTS}, walk AS (SELECT pid, 0 AS depth FROM parts WHERE parent IS NULL UNION ALL SELECT parts.pid, depth + 1 FROM parts JOIN walk ON parts.parent = walk.pid) SELECT pid AS part_id, depth FROM walk")
-def part_depths(spark, sf_dir):
-    scene.parts(spark, sf_dir).createOrReplaceTempView("massif_parts")
-    return spark.sql("WITH RECURSIVE walk(part_id, depth) AS (SELECT part_id, 0 FROM massif_parts WHERE parent_part_id IS NULL UNION ALL SELECT p.part_id, depth + 1 FROM massif_parts p JOIN walk w ON p.parent_part_id = w.part_id) SELECT part_id, depth FROM walk")
+@query(f"WITH {_SHAPES} SELECT pid AS part_id, parent AS parent_part_id FROM pr WHERE bpid IS NOT NULL AND CASE WHEN area > 0 THEN shared / area ELSE 0 END < 0.95")
+def not_contained(spark, sf_dir):
+    """Parts of which less than 95 % lies in their parent."""
+    return polygon_overlap(spark, sf_dir).filter("share < 0.95").select("part_id", "parent_part_id")
+
+
+@query(f"""WITH {_SHAPES}, ev AS (SELECT s.obj, s.x0, s.x1, s.y0, s.y1 FROM sh s WHERE y1 > y0), xs AS (SELECT obj, x, lead(x) OVER (PARTITION BY obj ORDER BY x) AS nx FROM (SELECT obj, x0 AS x FROM ev UNION SELECT obj, x1 FROM ev)),
+  ys AS (SELECT obj, y, lead(y) OVER (PARTITION BY obj ORDER BY y) AS ny FROM (SELECT obj, y0 AS y FROM ev UNION SELECT obj, y1 FROM ev)),
+  ce AS (SELECT DISTINCT xs.obj, x, nx, y, ny FROM xs JOIN ys USING (obj) JOIN ev ON ev.obj = xs.obj AND ev.x0 <= x AND ev.x1 >= nx AND ev.y0 <= y AND ev.y1 >= ny WHERE nx IS NOT NULL AND ny IS NOT NULL)
+  SELECT obj AS object_id, round(sum((nx - x) * (ny - y)), 6) AS area_m2 FROM ce GROUP BY obj""")
+def polygon_union(spark, sf_dir):
+    return _round(shape_columns.union_area(scene.part_shapes(spark, sf_dir)))
 
 
 @query("""WITH e AS (SELECT o_custkey % 50 AS shell_id, o_orderkey % 7 AS a, o_orderkey % 11 AS b FROM orders WHERE o_orderkey % 7 <> o_orderkey % 11)
   SELECT shell_id, least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS n, CAST(sum(CASE WHEN a < b THEN 1 ELSE -1 END) AS BIGINT) AS balance FROM e GROUP BY ALL HAVING count(*) <> 2 OR sum(CASE WHEN a < b THEN 1 ELSE -1 END) <> 0""")
 def shell_edge_check(spark, sf_dir):
+    """All orders as edges; an edge needs two ends, so those with equal ends are none."""
     k = F.col("o_orderkey")
     return validate.shell_edges(spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 50).alias("shell_id"), (k % 7).alias("a"), (k % 11).alias("b")).filter("a <> b"))
 
 
-@query("""SELECT coalesce(a.c_custkey, b.c_custkey) || '' AS path, a.c_mktsegment AS a, b.c_mktsegment AS b FROM (SELECT * FROM customer WHERE c_custkey % 5 <> 0) a FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'other' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 11 <> 0) b USING (c_custkey)
+@query("""SELECT coalesce(a.path, b.path) AS path, a.c_mktsegment AS a, b.c_mktsegment AS b FROM (SELECT c_custkey || '' AS path, c_mktsegment FROM customer) a
+  FULL JOIN (SELECT CASE WHEN c_custkey % 11 = 0 THEN 'moved.' ELSE '' END || c_custkey AS path, CASE WHEN c_custkey % 7 = 0 THEN 'other' WHEN c_custkey % 13 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer) b USING (path)
   WHERE a.c_mktsegment IS DISTINCT FROM b.c_mktsegment ORDER BY path LIMIT 20""")
 def document_diff(spark, sf_dir):
+    """The first differences (that is the report) of two documents made of all customers: values and paths of some differ."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    flat = lambda df, v: df.select(F.col("c_custkey").cast("string").alias("path"), v.alias("value"))
-    seg = F.col("c_mktsegment")
-    return validate.document_diff(flat(c.filter("c_custkey % 5 <> 0"), seg), flat(c.filter("c_custkey % 11 <> 0"), F.when(F.col("c_custkey") % 7 == 0, "other").otherwise(seg)))
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    other = F.when(k % 7 == 0, "other").when(k % 13 == 0, None).otherwise(seg)
+    return validate.document_diff(c.select(k.cast("string").alias("path"), seg.alias("value")), c.select(F.concat(F.when(k % 11 == 0, "moved.").otherwise(""), k.cast("string")).alias("path"), other.alias("value")))
 
 
 # ---- ids, properties, rings ----
 
-_IDS = """ids AS (SELECT c_custkey AS ord, CASE c_custkey % 6 WHEN 0 THEN '"  id ' || c_custkey || ' "' WHEN 1 THEN c_custkey || '.0' WHEN 2 THEN 'true' WHEN 3 THEN 'null' WHEN 4 THEN CAST(c_custkey // 3 AS VARCHAR) ELSE '"   "' END AS raw FROM customer)"""
-_NORMAL = f"{_IDS}, nid AS (SELECT ord, CASE ord % 6 WHEN 0 THEN 'id ' || ord WHEN 1 THEN CAST(ord AS VARCHAR) WHEN 4 THEN CAST(ord // 3 AS VARCHAR) END AS object_id FROM ids)"
+#: Ids as JSON text, and what each becomes by the rule: strings trimmed, whole numbers without a point, others at their shortest.
+_FORMS = (("'\"  id ' || ord || ' \"'", "'id ' || ord"), ("ord || '.0'", "CAST(ord AS VARCHAR)"), ("'true'", "NULL"), ("'null'", "NULL"), ("CAST(ord // 3 AS VARCHAR)", "CAST(ord // 3 AS VARCHAR)"), ("'\"   \"'", "NULL"),
+          ("'\"00' || ord || '\"'", "'00' || ord"), ("ord || '.50'", "ord || '.5'"), ("'\"' || ord || '.0\"'", "ord || '.0'"), ("ord || 'e2'", "CAST(ord * 100 AS VARCHAR)"), ("'{\"a\":' || ord || '}'", "NULL"), ("'\"a' || ord || '}\"'", "'a' || ord || '}'"), ("'-0'", "'0'"))
+_IDS = "ids AS (SELECT c_custkey AS ord, CASE c_custkey % 13 " + " ".join(f"WHEN {k} THEN {raw.replace('ord', 'c_custkey')}" for k, (raw, _) in enumerate(_FORMS)) + " END AS raw FROM customer)"
+_NORMAL = f"{_IDS}, nid AS (SELECT ord, CASE ord % 13 " + " ".join(f"WHEN {k} THEN {want}" for k, (_, want) in enumerate(_FORMS)) + " END AS object_id FROM ids)"
 
 
 def _ids(spark, sf_dir):
     k = F.col("c_custkey")
     s = k.cast("string")
-    raw = F.when(k % 6 == 0, F.concat(F.lit('"  id '), s, F.lit(' "'))).when(k % 6 == 1, F.concat(s, F.lit(".0"))).when(k % 6 == 2, "true").when(k % 6 == 3, "null").when(k % 6 == 4, F.floor(k / 3).cast("string")).otherwise('"   "')
+    forms = (F.concat(F.lit('"  id '), s, F.lit(' "')), F.concat(s, F.lit(".0")), F.lit("true"), F.lit("null"), F.floor(k / 3).cast("string"), F.lit('"   "'), F.concat(F.lit('"00'), s, F.lit('"')), F.concat(s, F.lit(".50")), F.concat(F.lit('"'), s, F.lit('.0"')), F.concat(s, F.lit("e2")), F.concat(F.lit('{"a":'), s, F.lit("}")), F.concat(F.lit('"a'), s, F.lit('}"')), F.lit("-0"))
+    raw = F.get(F.array(*forms), (k % len(forms)).cast("int"))
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("ord"), scalar.normalize_id(raw).alias("object_id"))
 
 
@@ -353,13 +422,13 @@ def duplicate_ids(spark, sf_dir):
     return _ids(spark, sf_dir).filter("object_id is not null").groupBy("object_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query(f"WITH {_NORMAL}, r AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY ord) - 1 AS k FROM nid WHERE object_id IS NOT NULL) SELECT ord, CASE WHEN k = 0 THEN object_id ELSE printf('%s_%02d', object_id, k) END AS tree_id FROM r")
+@query("""WITH a AS (SELECT c_custkey AS ord, c_custkey // 7 AS g, c_custkey % 7 AS k FROM customer), n AS (SELECT *, count(*) OVER (PARTITION BY g) AS size FROM a)
+  SELECT ord, CASE k WHEN 0 THEN 't' || g WHEN 1 THEN 't' || g || '_01' WHEN 2 THEN 't' || g || '_02' WHEN 3 THEN 't' || g || '_03' WHEN 4 THEN 't' || g || '_01_01' WHEN 5 THEN 't' || g || '_04' ELSE 't' || g || '_05' END AS tree_id FROM n""")
 def id_disambiguate(spark, sf_dir):
-    from pyspark.sql import Window
-
-    k = (F.row_number().over(Window.partitionBy("object_id").orderBy("ord")) - 1).alias("k")
-    r = _ids(spark, sf_dir).filter("object_id is not null").select("ord", "object_id", k)
-    return r.select("ord", F.when(F.col("k") == 0, F.col("object_id")).otherwise(F.format_string("%s_%02d", "object_id", "k")).alias("tree_id"))
+    """Names a, a, a_02, a, a_01, a, a in each group of seven: each takes the first free one in turn."""
+    g, k = F.floor(F.col("c_custkey") / 7), F.col("c_custkey") % 7
+    name = F.concat(F.lit("t"), g.cast("string"), F.when(k == 2, "_02").when(k == 4, "_01").otherwise(""))
+    return trees.first_free_ids(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("ord"), name.alias("tree_id")), "tree_id", ["ord"])
 
 
 @query("SELECT DISTINCT unnest(json_keys(props)) AS key FROM events")
@@ -367,18 +436,26 @@ def property_union(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.explode(F.json_object_keys("props")).alias("key")).distinct()
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'area_m2' WHEN 1 THEN 'k' END AS asked, CASE event_id % 3 WHEN 0 THEN 'src_area_m2' WHEN 1 THEN 'k' END AS name, json_extract_string(props, '$.k') AS value FROM events WHERE event_id % 3 < 2")
+@query(f"""WITH n AS (SELECT [{", ".join(f"'{c}'" for c in scalar.CANONICAL)}, 'k'] AS names) SELECT event_id, names[event_id % 27 + 1] AS asked, CASE WHEN event_id % 27 < 26 THEN 'src_' ELSE '' END || names[event_id % 27 + 1] AS name, json_extract_string(props, '$.k') AS value FROM events, n""")
 def property_keep(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 3 < 2")
-    key = F.when(F.col("event_id") % 3 == 0, "area_m2").otherwise("k")
+    """Each event has one wanted property, by turns one of a part's 26 own names or another, and one that isn't wanted."""
+    names = [*scalar.CANONICAL, "k"]
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    key = F.get(F.array(*map(F.lit, names)), (F.col("event_id") % len(names)).cast("int"))
     props = F.create_map(key, F.get_json_object("props", "$.k"), F.lit("dropped"), F.lit("x"))
-    return e.select("event_id", key.alias("asked"), F.explode(scalar.keep_properties(props, ["area_m2", "k"])).alias("name", "value")).select("event_id", "asked", "name", "value")
+    return e.select("event_id", key.alias("asked"), F.explode(scalar.keep_properties(props, names)).alias("name", "value")).select("event_id", "asked", "name", "value")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(printf('%.2f', l_extendedprice * 0.0125) AS DOUBLE) AS two, CAST(printf('%.1f', l_quantity / 20) AS DOUBLE) AS one, CAST(printf('%.0f', l_quantity / 2 - 10) AS DOUBLE) + 0.0 AS zero, CAST(printf('%.4f', l_discount / 7) AS DOUBLE) AS four FROM lineitem")
+def round_half_even(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", scalar.half_even(F.col("l_extendedprice") * 0.0125, 2).alias("two"), scalar.half_even(F.col("l_quantity") / 20, 1).alias("one"), (scalar.half_even(F.col("l_quantity") / 2 - 10, 0) + 0.0).alias("zero"), scalar.half_even(F.col("l_discount") / 7, 4).alias("four"))
 
 
 @query("""WITH f AS (SELECT s_suppkey AS object_id, (7 + s_suppkey % 9)::DOUBLE AS w, (s_suppkey % 3 + 6 + s_suppkey % 11 - s_suppkey % 3)::DOUBLE AS h FROM supplier)
   SELECT object_id, w * h AS area_m2, 2 * (w + h) AS perimeter_m, round(4 * pi() * w * h / pow(2 * (w + h), 2), 6) AS circularity, CAST(CASE WHEN w >= h THEN 90 ELSE 0 END AS DOUBLE) AS orientation_deg FROM f""")
 def ring_metrics(spark, sf_dir):
-    f = scene.footprints(spark, sf_dir).filter("object_id >= 0").select("object_id", F.array("x0", "x1", "x1", "x0").alias("xs"), F.array("y0", "y0", "y1", "y1").alias("ys"))
+    f = scene.footprints(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("object_id")), "object_id", "left_semi").select("object_id", F.array("x0", "x1", "x1", "x0").alias("xs"), F.array("y0", "y0", "y1", "y1").alias("ys"))
     a, p = scalar.signed_area(F.col("xs"), F.col("ys")), scalar.perimeter(F.col("xs"), F.col("ys"))
     dx, dy = F.get("xs", F.lit(1)) - F.get("xs", F.lit(0)), F.get("ys", F.lit(2)) - F.get("ys", F.lit(1))
     turn = F.when(dx >= dy, scalar.azimuth(dx, F.lit(0.0))).otherwise(scalar.azimuth(F.lit(0.0), dy))
@@ -399,9 +476,32 @@ def job_queue_position(spark, sf_dir):
     return jobs.queue_positions(scene.jobs(spark, sf_dir))
 
 
-@query(f"WITH {JOBS} SELECT job_id, state FROM last WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND state NOT IN ('queued', 'cancelling')")
+_SOURCES = "src AS (SELECT DISTINCT user_id AS job_id, CASE WHEN user_id % 3 = 0 AND user_id > 0 THEN user_id // 2 END AS source FROM events)"
+
+
+@query(f"""WITH {JOBS}, {_SOURCES}, live AS (SELECT job_id FROM last WHERE state NOT IN ('completed', 'failed', 'cancelled')) SELECT job_id, state FROM last WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR
+  AND job_id NOT IN (SELECT job_id FROM live) AND job_id NOT IN (SELECT source FROM src WHERE source IS NOT NULL AND job_id IN (SELECT job_id FROM live))""")
 def ttl_cleanup(spark, sf_dir):
-    return jobs.expired(scene.jobs(spark, sf_dir), 24, NOW)
+    return jobs.expired(scene.jobs(spark, sf_dir), 24, NOW, scene.job_inputs(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_SOURCES}, w AS (SELECT job_id, coalesce(source, job_id) AS owner, 0 AS k FROM src UNION ALL SELECT w.job_id, s.source, k + 1 FROM w JOIN src s ON s.job_id = w.owner WHERE s.source IS NOT NULL) SELECT job_id, arg_max(owner, k) AS owner FROM w GROUP BY job_id")
+def job_input_owner(spark, sf_dir):
+    return jobs.input_owners(scene.job_inputs(spark, sf_dir))
+
+
+@query(f"WITH {JOBS} SELECT job_id, seq, state FROM ev WHERE job_id % 2 = 0 OR seq > job_id * 50")
+def job_events_after(spark, sf_dir):
+    """Events beyond each odd job's cursor; even jobs have none."""
+    log = scene.jobs(spark, sf_dir)
+    cursor = log.select("job_id").distinct().filter("job_id % 2 = 1").select("job_id", (F.col("job_id") * 50).alias("seq"))
+    return jobs.events_after(log, cursor).select("job_id", "seq", "state")
+
+
+@query(f"""WITH {JOBS}, c AS (SELECT job_id, seq, state, lag(state) OVER (PARTITION BY job_id ORDER BY ts, seq) AS before FROM ev) SELECT job_id, seq, before, state FROM c WHERE state IS DISTINCT FROM before AND NOT coalesce(CASE before WHEN 'queued' THEN state IN ('running', 'cancelled')
+  WHEN 'running' THEN state IN ('cancelling', 'completed', 'failed', 'cancelled') WHEN 'cancelling' THEN state IN ('cancelled', 'completed', 'failed') WHEN 'completed' THEN false WHEN 'failed' THEN false ELSE state = 'queued' END, false)""")
+def job_wrong_changes(spark, sf_dir):
+    return jobs.wrong_changes(scene.jobs(spark, sf_dir))
 
 
 @query(f"WITH {JOBS} SELECT job_id, seq, state FROM (SELECT *, lag(state) OVER (PARTITION BY job_id ORDER BY ts, seq) AS b FROM ev) WHERE state IS DISTINCT FROM b")
@@ -412,15 +512,20 @@ def job_state_changes(spark, sf_dir):
 # ---- single trees, outlines, shapes and meshes ----
 
 
+#: Seen as a canopy, the podium's smoothed height has its tops on the tower alone, and all of them are one plateau or its branches.
 @query()
 def individual_trees(spark, sf_dir):
     px = scene.towers(spark, sf_dir)
     return trees.detect(px, trees.clean_apex(px, trees.canopy_profile(px)))
 
 
-@query()
+@query(f"""WITH {_TOWER_PARTS}, sup AS (SELECT s_suppkey AS object_id, 5 + s_suppkey % 4 AS w FROM supplier) SELECT pt.object_id, part_id, CAST(1 AS BIGINT) AS n_polygons, CAST(5 AS BIGINT) AS n_points, CASE part_level WHEN 0 THEN 0 ELSE 10 END::DOUBLE AS x0, CASE part_level WHEN 0 THEN 0 ELSE 10 END::DOUBLE AS y0,
+  CASE part_level WHEN 0 THEN 24 ELSE 10 + w END::DOUBLE AS x1, CASE part_level WHEN 0 THEN 24 ELSE 15 END::DOUBLE AS y1 FROM pt JOIN sup ON sup.object_id = pt.object_id""")
 def part_outlines(spark, sf_dir):
-    return hierarchy.outlines(scene.towers(spark, sf_dir)).select("object_id", "part_id", "area_m2", "rings")
+    points = F.flatten(F.flatten("polygons"))
+    at = lambda f, k: f(F.transform(points, lambda q: q[k]))
+    own = hierarchy.outlines(scene.towers(spark, sf_dir))
+    return own.select("object_id", "part_id", F.size("polygons").cast("long").alias("n_polygons"), F.size(points).cast("long").alias("n_points"), at(F.array_min, 0).alias("x0"), at(F.array_min, 1).alias("y0"), at(F.array_max, 0).alias("x1"), at(F.array_max, 1).alias("y1"))
 
 
 _BOXES = """bx AS (SELECT p_partkey AS object_id, CAST(p_partkey % 5 AS DOUBLE) AS x0, CAST(p_partkey % 3 AS DOUBLE) AS y0, CAST(7 + p_size % 9 AS DOUBLE) AS w, CAST(6 + p_partkey % 11 AS DOUBLE) AS h, CAST(p_size + 1 AS DOUBLE) AS z FROM part)"""

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from massif import cli
-from massif.functions import shapes
+from massif.functions import overlay, shapes
 from massif.operators import hierarchy, raster, trees
 from massif.sources import exports, scene
 
@@ -33,21 +33,49 @@ def test_rectangles_circles_and_regular_shapes():
     x, y, r = shapes.circle(p)
     away = np.hypot(p[:, 0] - x, p[:, 1] - y)
     assert away.max() == pytest.approx(r) and (away > r - 1e-9).sum() >= 2
-    ring, holes = shapes.regularize(box, [HOLE])
-    assert shapes.signed_area(ring) == pytest.approx(40) and not holes
+    region, how = shapes.regularize(box, [HOLE])
+    assert overlay.area(region) == pytest.approx(40) and overlay.holes(region) == 0 and how == "minimum_rotated_rectangle"
     a = np.arange(40) * (2 * math.pi / 40)
-    ring, _ = shapes.regularize(np.stack([np.cos(a), np.sin(a)], axis=1))
-    assert len(ring) == 32 and np.hypot(*ring.T) == pytest.approx(1.0)
+    region, how = shapes.regularize(20 * np.stack([np.cos(a), np.sin(a)], axis=1))
+    assert len(region[0][0]) == 32 and np.hypot(*region[0][0].T) == pytest.approx(20.0) and how == "minimum_bounding_circle"
+    assert shapes.regularize(box, regular=False)[1] == "simplified"
     wobbly = np.array(L, float) + [[0, 0.1], [0, 0], [0.1, 0], [0, 0.1], [0, 0], [0, 0.1]]
     steps = np.roll(shapes.orthogonal(wobbly), -1, axis=0) - shapes.orthogonal(wobbly)
     assert len(steps) == 6 and np.abs((steps * np.roll(steps, -1, axis=0)).sum(axis=1)).max() < 1e-9
 
 
-def test_outlines_bound_their_pixels():
-    mask = np.zeros((9, 9), bool)
-    mask[1:8, 1:8], mask[3:5, 3:6] = True, False
-    (polygon,) = shapes.polygons(raster.polygonize(mask))
-    assert len(polygon) == 2 and sum(map(shapes.signed_area, polygon)) == mask.sum()
+def test_a_round_outline_of_pixels_becomes_a_circle():
+    r, c = np.mgrid[0:40, 0:40]
+    (disk,) = overlay.outlines((r - 20) ** 2 + (c - 20) ** 2 <= 15**2)
+    raw = 4 * math.pi * shapes.signed_area(disk[0]) / shapes.perimeter(disk[0]) ** 2
+    assert raw < 0.8 and shapes.regularize(disk[0])[1] == "minimum_bounding_circle"
+
+
+def test_holes_are_cut_out_of_the_regular_shell():
+    t = math.radians(20)
+    turn = np.array([[math.cos(t), math.sin(t)], [-math.sin(t), math.cos(t)]])
+    shell = np.array([(0, 0), (20, 0), (20, 9.8), (10, 10), (0, 9.9)]) @ turn
+    hole, crossing = np.array([(4, 3), (4, 6), (8, 6), (8, 3)]) @ turn, np.array([(15, 8), (15, 12), (18, 12), (18, 8)]) @ turn
+    region, how = shapes.regularize(shell, [hole, crossing])
+    assert how == "minimum_rotated_rectangle" and overlay.valid(region) and overlay.holes(region) == 1
+    assert overlay.area(region) == pytest.approx(20 * 9.9 - 12 - 3 * 1.9, abs=0.05)  # the middle of the top is within the tolerance
+
+
+def test_runs_lie_at_the_plain_mean_of_their_edges():
+    ring = np.array([(0, 0), (9, 0), (10, 0.6), (10, 20), (0, 20)], float)  # bottom: a long edge at 0 and a short one at 0.3
+    got = shapes.orthogonal(ring)
+    u = got[np.argsort(got[:, 1])][:2]
+    assert np.abs(u[:, 1] - u[:, 1].mean()).max() < 0.05 and u[:, 1].mean() == pytest.approx(0.15, abs=0.05)
+
+
+def test_simplified_rings_stay_simple_and_keep_a_triangle():
+    slit = np.array([(0.5, 10), (0, 9.7), (0, 0.3), (0.3, 0), (0.5, 0), (0.8, 0.3), (0.8, 9.7)])
+    assert len(shapes.simplify(slit, 0.9)) == 3
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        t = np.sort(rng.random(40)) * 2 * math.pi
+        star = np.stack([np.cos(t), np.sin(t)], axis=1) * (3 + 4 * rng.random(40))[:, None]
+        assert overlay.valid([[shapes.simplify(star, 1.5)]])
 
 
 def test_two_domes_are_two_trees_and_a_branch_is_none():
@@ -57,6 +85,12 @@ def test_two_domes_are_two_trees_and_a_branch_is_none():
     two = np.maximum(dome(15, 12, 10, 4), dome(15, 36, 8, 4))
     found = trees.peaks(two, two > 0.5, 10.0, 1.0, config)
     assert [(y, x) for _, y, x in found] == [(15, 12), (15, 36)]
+    # a top of a few cells stands out by its own height, though its smoothed height is close to the saddle's
+    flat = np.full((30, 50), 6.0)
+    flat[14:17, 9:12], flat[14:17, 18:21] = 8.5, 7.5
+    smooth = raster.gaussian(flat)
+    low = min(smooth[15, 10], smooth[15, 19])
+    assert low - smooth[15, 10:20].min() < 1.2 + 0.3 and len([f for f in trees.peaks(flat, flat > 0, 10.0, 1.0, config) if f[0] > 7]) == 2
     branch = np.maximum(dome(15, 12, 10, 5), dome(15, 18, 9, 5))
     assert len(trees.peaks(branch, branch > 0.5, 10.0, 1.0, config)) == 1
 
@@ -70,14 +104,21 @@ def test_run_validate_and_export(spark, data, tmp_path, capsys):
     assert (result["num_features"], result["num_buildings"]) == (want.n_parts, want.n_objects)
     assert [a["volume_m3"] for a in result["export"]["artifacts"]] == pytest.approx([want.total_volume_m3] * 3, abs=0.05)
     assert cli.main(["validate", out], spark) == 0
-    doc = json.load(open(out))
-    doc["features"][0]["properties"]["part_height_m"] += 1
-    json.dump(doc, open(out, "w"))
-    assert cli.main(["validate", out], spark) == 3
+    with open(out) as f:
+        whole = f.read()
+    for change in (lambda d: d["features"][0]["properties"].update(part_height_m=99.0), lambda d: d["features"][1].update(id="x"), lambda d: d["features"][1]["geometry"]["coordinates"][0][0].__setitem__(0, [-90.0, -90.0])):
+        doc = json.loads(whole)
+        change(doc)
+        with open(out, "w") as f:
+            json.dump(doc, f)
+        assert cli.main(["validate", out], spark) == 3
     assert cli.main(["export", out, "--formats", "obj"], spark) == 2
     assert cli.main(["run", "--pixels", px, "--output", out, "--max-height-classes", "0"], spark) == 2
     tree = str(tmp_path / "trees.geojson")
     assert cli.main(["run", "--pixels", px, "--output", tree, "--mode", "tree"], spark) == 0
+    stop = tmp_path / "CANCEL"
+    stop.touch()
+    assert cli.main(["run", "--pixels", px, "--output", str(tmp_path / "none.geojson"), "--cancel-file", str(stop)], spark) == 130 and not (tmp_path / "none.geojson").exists()
     assert json.load(open(tree))["features"][0]["geometry"]["type"] == "Point"
 
 
