@@ -206,38 +206,44 @@ def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segmen
 
 
 def pack_conversations(turns: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS // 2) -> DataFrame:
-    """Instruction data: whole turns as items, loss on the assistant's tokens; too long turns are cut.
+    """Instruction data: turns as items, loss on the assistant's tokens, under all three limits.
 
-    One row for each piece: conv_id, turn, start, length, loss_tokens, sequence_id, offset.
+    A turn is cut where it doesn't fit whole, so each of its ids lies in exactly one piece.  Rows are packed one
+    by one, also those that repeat or lack an id; a null role bears no loss, a null text is empty.
+    One row for each piece: conv_id, turn, start, length, loss_tokens, turn_tokens, sequence_id, offset.
     """
+    kinds = [turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
+    names = ["conv_id", "turn", "start", "length", "loss_tokens", "turn_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        encode, packer, base, made = encoder(tokenizer), Packer(tokens, segments, loss), TaskContext.get().partitionId() << 33, 0
-        flags: dict[tuple, np.ndarray] = {}
+        encode, packer, base, made, n = encoder(tokenizer), Packer(tokens, segments, loss), TaskContext.get().partitionId() << 33, 0, 0
+        flags: dict[int, np.ndarray] = {}
+        own: dict[int, tuple] = {}
+        types = None
         for last, batch in _with_end(batches):
-            rows: list[tuple] = []
             sequences: list = []
             if batch is not None:
-                for i, (conv, turn, role, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
-                    n = len(encode(text or "")) + 1
-                    key = (conv, turn, made, i)
-                    flags[key] = np.full(n, int(role == "assistant"), np.int64)
-                    sequences += packer.add(key, flags[key])
+                types = [batch.schema.field(k).type for k in (0, 1)]
+                for conv, turn, role, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    own[n], flags[n] = (conv, turn), np.full(len(encode(text or "")) + 1, int(role == "assistant"), np.int64)
+                    sequences += packer.add(n, flags[n])
+                    n += 1
             if last:
                 sequences += packer.finish()
+            rows: list[tuple] = []
             for pieces in sequences:
                 at = 0
-                for key, start, n in pieces:
-                    rows.append((key[0], key[1], start, n, int(flags[key][start : start + n].sum()), base + made, at))
-                    at += n
+                for key, start, size in pieces:
+                    rows.append((*own[key], start, size, int(flags[key][start : start + size].sum()), len(flags[key]), base + made, at))
+                    at += size
                 made += 1
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["conv_id", "turn", "start", "length", "loss_tokens", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*types, *[pa.int64()] * 6], strict=True)], names=names)
             waiting = {item[0] for item in packer.items}
-            flags = {k: v for k, v in flags.items() if k in waiting}
+            flags, own = ({k: v for k, v in d.items() if k in waiting} for d in (flags, own))
 
-    columns = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"]
-    return turns.select(*columns).mapInArrow(run, "conv_id long, turn long, start long, length long, loss_tokens long, sequence_id long, offset long")
+    rest = ", ".join(f"{c} long" for c in names[2:])
+    return turns.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, {rest}")
 
 
 def _with_end(batches):

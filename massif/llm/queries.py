@@ -49,6 +49,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 on instruction data, where only the assistant's tokens bear loss."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), TOKENIZER)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_language_id, op3_extendible_shards, shard_buckets_50kb, op4_warc_round_trip, op5_decontamination, op6_lm_score, op7_license_scan, op8_packing, op9_toxicity, op10_simhash)
+    own = (op1_quality_rules, op2_language_id, op3_extendible_shards, shard_buckets_50kb, op4_warc_round_trip, op5_decontamination, op6_lm_score, op7_license_scan, op8_packing, conversation_packing, op9_toxicity, op10_simhash)
     return {f.__name__: f for f in own}
 
 

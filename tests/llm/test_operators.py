@@ -316,6 +316,40 @@ def test_lm_score_is_that_of_one_trie(spark, monkeypatch):
         assert sorted(r.score for r in ppm.score(table(spark, rows), nodes=nodes).collect()) == pytest.approx(want, rel=1e-5)
 
 
+def plain_ppm(train, text):
+    """PPM, method C with exclusion, symbol by symbol over dictionaries of contexts."""
+    seen = {}
+    for t in train:
+        data = b"\0" * ppm.ORDER + t + b"\0"
+        for i in range(ppm.ORDER, len(data)):
+            for k in range(ppm.ORDER + 1):
+                seen.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    total, data = 0.0, b"\0" * ppm.ORDER + text + b"\0"
+    for i in range(ppm.ORDER, len(data)):
+        gone = set()
+        for k in reversed(range(ppm.ORDER + 1)):
+            left = {s: n for s, n in seen.get(data[i - k : i], {}).items() if s not in gone}
+            if not left:
+                continue
+            whole = sum(left.values()) + len(left)
+            if data[i] in left:
+                total += math.log10(left[data[i]] / whole)
+                break
+            total += math.log10(len(left) / whole)
+            gone |= set(left)
+        else:
+            total -= math.log10(max(1, 256 - len(gone)))
+    return total
+
+
+def test_trie_equals_a_plain_model():
+    train = [prose(i, 25).encode() for i in range(15)] + [b"", b"aaaa aaaa", b"\xff\x00a", b"kara kara"]
+    keys, n = np.unique(np.concatenate([ppm.windows(p) for t in train for p in ppm.pieces(t)]), return_counts=True)
+    trie = ppm.Trie(keys, n, *ppm.summed(keys & np.uint64((1 << 8 * ppm.ORDER) - 1), n))
+    texts = [train[0], prose(99, 20).encode(), b"", b"zzz qq", b"aaaaaaaaaa", b"\xfe\x01", b"karavin kara"]
+    assert trie.score(texts) == pytest.approx([plain_ppm(train, t) for t in texts], rel=1e-5)
+
+
 # ---- 7 ----
 
 
@@ -382,9 +416,27 @@ def test_packing_keeps_all_three_limits():
 
 
 def test_packing_conversations(spark):
-    turns = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", prose(c * 9 + t, 20 + t)) for c in range(40) for t in range(4)], "conv_id long, turn long, role string, text string")
-    got = packing.pack_conversations(turns, q.TOKENIZER).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sum("loss_tokens").alias("l")).collect()
-    assert all(r.n <= 1024 and r.l <= 512 for r in got)
+    rows = [(c, t, "assistant" if t % 2 else "user", prose(c * 9 + t, 20 + t)) for c in range(40) for t in range(4)]
+    rows += [(99, 0, "assistant", prose(5, 900))] + [(7, 0, "user", "again")] * 3 + [(None, None, None, None), (8, None, "assistant", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = packing.pack_conversations(turns, q.TOKENIZER).collect()
+    tok, want, seen = Tokenizer.from_file(q.TOKENIZER), Counter(), Counter()
+    for c, t, role, text in rows:
+        n = len(tok.encode(text or "", add_special_tokens=False).ids) + 1
+        want[c, t] += n
+        want[c, t, "loss"] += n * (role == "assistant")
+    sequences = {}
+    for r in got:
+        seen[r.conv_id, r.turn] += r.length
+        seen[r.conv_id, r.turn, "loss"] += r.loss_tokens
+        sequences.setdefault(r.sequence_id, []).append(r)
+    assert seen == want
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
+        assert sum(r.length for r in own) <= 1024 and sum(r.loss_tokens for r in own) <= 512 and len(own) <= packing.SEGMENTS
+    assert max(sum(r.loss_tokens for r in own) for own in sequences.values()) > 400  # the loss limit binds here
+    assert packing.pack_conversations(turns.limit(0), q.TOKENIZER).count() == 0
 
 
 # ---- 9 ----
@@ -402,6 +454,42 @@ def test_ordinal_grades(spark):
     assert not any(r.toxic for r in toxicity.score(table(spark, rows), l.limit(0)).collect())
 
 
+def test_ordinal_fit_reaches_the_plain_optimum():
+    """The fitted weights are as good as plain descent on the penalised likelihood, written out row by row."""
+    rng = np.random.default_rng(9)
+    rows, grades = [], []
+    for i in range(240):
+        g = i % 3
+        rows.append(np.unique(np.concatenate([rng.integers(100, 160, 12), [1 + g] * (rng.random() < 0.8), rng.integers(1000 + 50 * i, 1050 + 50 * i, 3)]).astype(np.int64)))
+        grades.append(g)
+    grades = np.array(grades)
+    model = toxicity.fit(rows, grades)
+    used = np.flatnonzero(model.weights)
+    x = np.array([[c in set(r.tolist()) for c in used] for r in rows], float)
+    weight = np.array([1 / (grades == g).sum() for g in grades]) / 3
+
+    def loss(w, theta):
+        total = toxicity.L1 * np.abs(w).sum()
+        for row, g, share in zip(x @ w, grades, weight, strict=True):
+            up = 1.0 if g == 2 else 1 / (1 + math.exp(-(theta[g] - row)))
+            low = 0.0 if g == 0 else 1 / (1 + math.exp(-(theta[g - 1] - row)))
+            total -= share * math.log(max(up - low, 1e-9))
+        return total
+
+    found = loss(model.weights[used].astype(float), model.thresholds)
+    point = np.concatenate([model.weights[used].astype(float), model.thresholds])
+    for size in (0.1, 0.03):  # no coordinate alone, nor a common scale, makes it much better
+        for k in range(len(point)):
+            for sign in (-1, 1):
+                moved = point.copy()
+                moved[k] += sign * size
+                if moved[-2] < moved[-1]:
+                    assert loss(moved[:-2], moved[-2:]) > found - 2e-3
+    assert found < 0.6 * loss(np.zeros(len(used)), np.array([-math.log(2), math.log(2)]))
+    z = x @ model.weights[used]
+    assert model.thresholds[0] < model.thresholds[1] and np.mean((z[:, None] > model.thresholds).sum(axis=1) == grades) > 0.75
+
+
 # ---- 10 ----
 
 
@@ -516,15 +604,38 @@ def test_near_copies_equal_brute_force(spark):
 
 
 def test_pipeline(spark, data):
+    """Each stage against a plain version of it, on what the stage before kept."""
+    import duckdb
+
     import corpus_pipeline
 
-    assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality rules"
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    docs, kept = spark.read.parquet(f"{data}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, data)
         assert out.columns == docs.columns
-        ids = {r.doc_id for r in out.collect()}
-        assert ids <= {r.doc_id for r in docs.collect()}
-        docs = out
-    packed = {r.doc_id for r in corpus_pipeline.run(spark, data).collect()}
-    assert packed == ids and ids
+        before, after = ({r.doc_id: r.text for r in x.collect()} for x in (docs, out))
+        assert set(after) <= set(before) and all(after[i] == before[i] for i in after)
+        if name == "quality rules":
+            assert set(after) == {i for i, ok in duck.execute(f"SELECT doc_id, kept FROM ({q.oracle_sql()['op1_quality_rules']})").fetchall() if ok}
+        if name == "simhash near-dedup":
+            sets = {i: plain_set(t) for i, t in before.items()}
+            assert set(after) == set(roots(sorted(sets), lambda a, b: similar(sets[a], sets[b])).values())
+        if name == "benchmark decontamination":
+            items = [decontam.normal(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+            for i, text in before.items():
+                flat = decontam.normal(text)
+                whole = any(item and item in flat for item in items)
+                assert not (whole and i in after)
+                if i not in after and not whole:
+                    assert any(decontam.best_match(decontam.letters(x), len(x), flat)[0] <= decontam.budget(x) for x in items if x)
+        kept.append(set(after))
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert all(kept) and len(kept[0]) > len(kept[-1])
+    rows = corpus_pipeline.run(spark, data).collect()
+    assert {r.doc_id for r in rows} == kept[-1]
+    size = Counter()
+    for r in rows:
+        size[r.doc_id] += r.length
+    assert all(size[r.doc_id] == r.doc_tokens for r in rows)
