@@ -1,5 +1,6 @@
 """What the operators share: table access, lineage cuts, word splitting and pass-through Arrow maps."""
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Code points that end a word: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Texts in an Arrow batch.
+TEXTS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +29,32 @@ def _local(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let Spark pass texts to Python TEXTS at a time, unless the session says otherwise: a batch is held several times outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's own value
+        spark.conf.set(name, str(TEXTS))
+
+
+def released(run):
+    """The map function, with the memory that its buffers took given back at the end of each partition: workers live on."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # only glibc has it
+
+    return wrapped
+
+
 def share_code(spark: SparkSession) -> None:
     """Let Python workers import this package: from the driver's folder if that is theirs too, else from a zip that Spark sends them."""
+    short_batches(spark)
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
     paths = [p for p in sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if str(root) in paths or getattr(sc, "_massif_code", False):
@@ -46,6 +73,7 @@ def share_code(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only on a single machine whose session names none (tests)."""
+    short_batches(spark)
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
@@ -130,4 +158,4 @@ def with_arrow(df: DataFrame, reads: list[str], adds: T.StructType, fn) -> DataF
                 made = fn(tuple(batch.column(i).to_pylist() for i in at))
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept_at] + list(made), names=schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)

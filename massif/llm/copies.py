@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massif.llm import simhash
-from massif.llm.common import cut, held, slices, with_arrow
+from massif.llm.common import cut, held, released, slices, with_arrow
 from massif.llm.simhash import closure, keep_first
 
 SHINGLE, SAMPLE, HEAVY, HOT, CELL, ROUNDS, ROWS, BINS, SEEN = 5, 4096, 100_000, 8, 16, 6, 1 << 17, 256, 1 << 18
@@ -139,7 +139,7 @@ def index(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             for at in range(0, len(key), ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + ROWS]) for x in columns], names=["key", "a", "n", "pos", "hot"])
 
-    return docs.select("text").mapInArrow(run, "key long, a long, n int, pos int, hot boolean")
+    return docs.select("text").mapInArrow(released(run), "key long, a long, n int, pos int, hot boolean")
 
 
 def _cells(rows: DataFrame, cell: int) -> DataFrame:
@@ -198,7 +198,7 @@ def _cells(rows: DataFrame, cell: int) -> DataFrame:
             yield from part(*cols)
 
     place = F.when(F.col("hot"), F.xxhash64("a")).otherwise(F.col("key"))
-    return rows.repartition(place).sortWithinPartitions("key").mapInArrow(run, "key long, a long, n int, pos int, b long")
+    return rows.repartition(place).sortWithinPartitions("key").mapInArrow(released(run), "key long, a long, n int, pos int, b long")
 
 
 def _possible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _possible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "binsa", "binsb")
-    return cut(both.mapInArrow(run, "a long, b long"))
+    return cut(both.mapInArrow(released(run), "a long, b long"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, k: int) ->
                         seen.add(name)
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["fp", "s"])
 
-    sets = texts.select("text").mapInArrow(run, "fp long, s binary").groupBy("fp").agg(F.first("s").alias("s"))
+    sets = texts.select("text").mapInArrow(released(run), "fp long, s binary").groupBy("fp").agg(F.first("s").alias("s"))
     met = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def similar(batches):
@@ -248,7 +248,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, k: int) ->
                 keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(met.mapInArrow(similar, "a long, b long"))
+    return cut(met.mapInArrow(released(similar), "a long, b long"))
 
 
 def _closest(distinct: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ one space.  An item of m characters may differ in e = m // EDIT_SHARE edits.  Cu
 an occurrence within e edits has at least one piece unchanged, at most e characters from its place.
 All pieces are searched at once (Aho-Corasick), hits are grouped into stretches of the text that
 can hold the occurrence, and each stretch is verified by Myers' bit-parallel distance of the item to
-its best substring.
+its best substring.  An item of fewer than EDIT_SHARE characters may have no edits and is found as whole words only.
 
 The items are the query set: they travel to the tasks in blocks of at most ``BLOCK_CHARS``
 characters, one pass over the texts for each block; the texts are never shuffled or cut.
 
-Defined results: null and empty items and texts match nothing; several items with one id are all
+Defined results: null and empty items and texts match nothing; a null item_id is an id like any other; several items with one id are all
 searched and the best match of the id is given; of several matches of an item in a document the
 best is given, the first of equals; rows that share a doc_id are matched one by one; empty tables
 give no rows; other columns are ignored by ``matches`` and kept by ``filter_documents``.
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from massif.llm.common import released
+
 EDIT_SHARE, BLOCK_CHARS = 20, 2_000_000
 _GAP = re.compile(r"[\W_]+")
 
@@ -88,6 +90,12 @@ class Index:
         if owners:
             self.automaton.make_automaton()
 
+    def fits(self, k: int, flat: str, place: int) -> bool:
+        """Whether a hit can be an occurrence: one of an item that may not be edited begins and ends with words of the text."""
+        item = self.items[k][1]
+        after = place + len(item)
+        return budget(item) > 0 or ((place == 0 or flat[place - 1] == " ") and (after == len(flat) or flat[after] == " "))
+
     def search(self, text: str | None) -> list[tuple[object, int, int, int]]:
         """(item id, edits, budget, end in the normal text) of the best match of each item found."""
         if not self.items:
@@ -95,7 +103,9 @@ class Index:
         flat, starts = normal(text), {}
         for end, (n, own) in self.automaton.iter(flat):
             for k, at in own:
-                starts.setdefault(k, []).append(end - n + 1 - at)
+                place = end - n + 1 - at
+                if self.fits(k, flat, place):
+                    starts.setdefault(k, []).append(place)
         found: dict[object, tuple[int, int, int]] = {}
         for k, places in starts.items():
             name, item = self.items[k]
@@ -161,7 +171,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1]), *(pa.array(c, pa.int64()) for c in cols[2:])], names=schema.fieldNames())
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = docs.select("doc_id", "text").mapInArrow(released(run), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -177,5 +187,5 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for batch, index in with_index(batches):
                     yield batch.filter(pa.array([not index.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-            docs = docs.mapInArrow(run, docs.schema)
+            docs = docs.mapInArrow(released(run), docs.schema)
     return docs

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massif.llm.common import remainder, with_arrow
+from massif.llm.common import released, remainder, with_arrow
 
 ORDERS, BUCKETS, DIM, SAMPLE, EPOCHS, RATE, SEED = (2, 3, 4), 1 << 16, 16, 4000, 6, 4.0, 7
 REFUSE, ACCEPT, BLOCK = 0.001, 0.5, 1 << 20
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, modulus: int = 5, sample: int = SAMPLE) -> Model:
             got = [counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([n for _, n in got], pa.list_(pa.int64()))], names=["lang", "idx", "n"])
 
-    got = own.filter(picked).select("lang", "text").mapInArrow(count, "lang string, idx array<int>, n array<bigint>").toArrow().combine_chunks()
+    got = own.filter(picked).select("lang", "text").mapInArrow(released(count), "lang string, idx array<int>, n array<bigint>").toArrow().combine_chunks()
     langs = got["lang"].to_pylist()
 
     def lists(name, kind):  # without a Python object for each number

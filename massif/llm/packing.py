@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massif.llm.common import released
+
 TOKENS, SEGMENTS, LOSS, POOL = 1024, 64, 1024, 512
 SEPARATOR, BLOCK = 0, 1 << 20
 
@@ -202,7 +204,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segmen
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids array<bigint>")
 
 
 def pack_conversations(turns: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS // 2) -> DataFrame:

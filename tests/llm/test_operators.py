@@ -270,6 +270,13 @@ def test_edited_passages_are_found_and_nothing_else(spark):
     assert {x.doc_id for x in decontam.filter_documents(docs, b).collect()} == set(range(120)) - {k for k, _ in want}
 
 
+def test_short_items_are_whole_words(spark):
+    docs = table(spark, [(1, "the quick fox"), (2, "a qu, sign"), (3, "QU"), (4, "two words here"), (5, "two wordshere")])
+    got = decontam.matches(docs, bench(spark, [(1, "Qu"), (None, "two words"), (3, "fox")])).collect()
+    assert sorted((r.doc_id, str(r.item_id), r.edits) for r in got) == [(1, "3", 0), (2, "1", 0), (3, "1", 0), (4, "None", 0)]
+    assert {r.doc_id: r.match_end for r in got if r.item_id == 1} == {2: 4, 3: 2}
+
+
 # ---- 6 ----
 
 
