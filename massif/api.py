@@ -254,6 +254,9 @@ def validate_file(spark: SparkSession, path: str) -> int:
         n = parts.count()
         if not n:
             raise ValidationError("the collection holds no parts")
+        broken = validate.structure(parts).limit(MOST).collect()
+        if broken:
+            raise ValidationError("; ".join(f"{r.part_id}: {r.problem}" for r in broken))
         check(parts, int((processing.get("parameters") or {}).get("round_digits", 2)), saved=True)
     finally:
         parts.unpersist()
@@ -264,9 +267,7 @@ def export_file(spark: SparkSession, path: str, formats: list[str], crs: str = "
     """Validate a saved collection and write it in other formats beside it."""
     validate_file(spark, path)
     parts, processing = read_parts(spark, path)
-    rest = [c for c in hierarchy.COLUMNS if c not in ("object_id", "part_id", "parent_part_id")]
-    others = F.map_filter(F.from_json("all", "map<string,string>"), lambda k, _: ~k.isin(*CANONICAL))
-    attributes = F.map_concat(F.map_from_arrays(F.array(*(F.lit(c) for c in rest)), F.array(*(F.col(c).cast("string") for c in rest))), F.coalesce(others, F.create_map().cast("map<string,string>")))
+    rest = F.col("all")  # every property with its type; the three ids are columns of their own
     rings = F.transform(F.flatten("polygons"), lambda r: F.slice(r, F.lit(1), F.size(r) - 1))
-    own = parts.select("object_id", "part_id", "parent_part_id", rings.alias("rings"), "base_elevation_m", "top_elevation_m", attributes.alias("attributes"))
-    return exports.export(own, str(Path(path).parent), Path(path).stem, formats, processing.get("working_crs") or crs)
+    own = parts.select("object_id", "part_id", "parent_part_id", rings.alias("rings"), "base_elevation_m", "top_elevation_m", rest.alias("attributes"))
+    return exports.export(own, str(Path(path).parent), Path(path).stem, formats, processing.get("working_crs") or crs, path)

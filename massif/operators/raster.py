@@ -3,27 +3,24 @@
 import heapq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---- relational ----
 
 
-def diamond(n: int) -> list[tuple[int, int]]:
-    """Offsets that n steps of the cross reach."""
-    return [(r, c) for r in range(-n, n + 1) for c in range(-n, n + 1) if abs(r) + abs(c) <= n]
-
-
-def _spread(mask: DataFrame, n: int) -> DataFrame:
-    offsets = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in diamond(n)))
-    return mask.withColumn("o", F.explode(offsets)).select("object_id", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"))
+def closing(mask: DataFrame, n: int, height: int, width: int) -> DataFrame:
+    """object_id, row, col: the pixel set closed by n steps of the cross within its window, and itself; one shuffle on object_id, one window at a time."""
+    kind = mask.schema["object_id"].dataType.simpleString()
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros((height, width), bool)
+        own[rows["row"].to_numpy(), rows["col"].to_numpy()] = True
+        r, c = np.nonzero(close_mask(own, n))
+        return pd.DataFrame({"object_id": rows["object_id"].iloc[0], "row": r.astype("i4"), "col": c.astype("i4")})
 
-def closing(mask: DataFrame, n: int, height: int, width: int) -> DataFrame:
-    """object_id, row, col: the pixel set closed by n steps of the cross within its window, and itself."""
-    wide = _spread(mask, n).filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).distinct()
-    full = _spread(wide, n).groupBy("object_id", "row", "col").count().filter(F.col("count") == len(diamond(n))).drop("count")
-    return full.unionByName(mask.select("object_id", "row", "col")).distinct()
+    return mask.select("object_id", "row", "col").groupBy("object_id").applyInPandas(run, f"object_id {kind}, row int, col int")
 
 
 def local_maxima(pixels: DataFrame, reach: int, least: float = 0.0) -> DataFrame:

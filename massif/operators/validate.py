@@ -120,3 +120,27 @@ def document_diff(left: DataFrame, right: DataFrame, limit: int = 20) -> DataFra
     """path, a, b: the first differences of two flattened documents (path, value), by a full outer join."""
     joined = left.select("path", F.col("value").alias("a")).join(right.select("path", F.col("value").alias("b")), "path", "full_outer")
     return joined.filter(~F.col("a").eqNullSafe(F.col("b"))).orderBy("path").limit(limit)
+
+
+#: What a saved part's columns must hold in JSON (fixed values): text, number, whole number; a question mark allows null.
+STRUCTURE = {
+    "object_id": "text", "part_id": "text", "parent_part_id": "text?", "part_level": "whole", "ground_elevation_m": "number", "base_height_agl_m": "number", "top_height_agl_m": "number", "part_height_m": "number",
+    "base_elevation_m": "number", "top_elevation_m": "number", "area_m2": "number", "perimeter_m": "number", "oriented_length_m": "number", "oriented_width_m": "number", "dimension_method": "text", "orientation_deg": "number",
+    "volume_m3": "number", "delta_z_m": "number", "expected_pixel_count": "whole", "valid_pixel_count": "whole", "support_pixel_count": "whole", "valid_coverage_ratio": "number", "decomposition_reason": "text",
+    "parent_containment_ratio": "number?", "interior_ring_count": "whole", "geometry_method": "text",
+}
+
+
+def structure(rows: DataFrame) -> DataFrame:
+    """part_id, problem: saved parts (feature_id, all: their properties as JSON) that lack a column or hold a value of another kind."""
+    members = F.try_parse_json("all").try_cast("map<string,variant>")
+    problems = [F.when(F.col("m").isNull(), "the properties aren't an object")]
+    for name, kind in STRUCTURE.items():
+        value = F.try_element_at(F.col("m"), F.lit(name))
+        found = F.schema_of_variant(value)
+        fits = {"text": found == "STRING", "whole": found == "BIGINT", "number": found.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")}[kind.rstrip("?")]
+        null = found == "VOID"
+        fits = fits | null if kind.endswith("?") else fits
+        problems += [F.when(F.col("m").isNotNull() & value.isNull(), f"{name} isn't there"), F.when(value.isNotNull() & ~fits, f"{name} isn't {kind.rstrip('?')}")]
+    found = rows.select(F.col("feature_id").alias("part_id"), members.alias("m")).select("part_id", F.explode(F.filter(F.array(*problems), lambda x: x.isNotNull())).alias("problem"))
+    return found

@@ -112,6 +112,13 @@ def test_run_validate_and_export(spark, data, tmp_path, capsys):
         with open(out, "w") as f:
             json.dump(doc, f)
         assert cli.main(["validate", out], spark) == 3
+    for change, word in ((lambda p: p.pop("area_m2"), "area_m2 isn't there"), (lambda p: p.update(part_level="0"), "part_level isn't whole"), (lambda p: p.update(part_level=0.5), "part_level isn't whole"), (lambda p: p.update(object_id=None), "object_id isn't text")):
+        doc = json.loads(whole)
+        change(doc["features"][0]["properties"])
+        with open(out, "w") as f:
+            json.dump(doc, f)
+        capsys.readouterr()
+        assert cli.main(["validate", out], spark) == 3 and word in capsys.readouterr().out
     assert cli.main(["export", out, "--formats", "obj"], spark) == 2
     assert cli.main(["run", "--pixels", px, "--output", out, "--max-height-classes", "0"], spark) == 2
     tree = str(tmp_path / "trees.geojson")
@@ -122,6 +129,25 @@ def test_run_validate_and_export(spark, data, tmp_path, capsys):
     assert json.load(open(tree))["features"][0]["geometry"]["type"] == "Point"
 
 
+def test_attributes_keep_their_types(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    own = {"t": "é <&>", "n": 3, "x": 2.5, "ok": True, "none": None, "deep": {"a": [1]}, "big": 2**40}
+    ring = [[0.0, 0.0], [4.0, 0.0], [4.0, 3.0], [0.0, 3.0]]
+    rows = [("o", "o-P00", None, [ring], 1.0, 5.0, json.dumps(own))]
+    parts = spark.createDataFrame(rows, "object_id string, part_id string, parent_part_id string, rings array<array<array<double>>>, base_elevation_m double, top_elevation_m double, attributes string")
+    source = tmp_path / "source.geojson"
+    source.write_text("{}")
+    doc = exports.export(parts, str(tmp_path), "out", ["glb", "cityjson", "citygml"], "EPSG:32750", str(source))
+    assert doc["source"]["sha256"] == exports.file_digest(source) and [a["volume_m3"] for a in doc["artifacts"]] == pytest.approx([48.0] * 3)
+    want = {"t": "é <&>", "n": 3, "x": 2.5, "ok": True, "deep": '{"a": [1]}', "big": 2**40}
+    city = json.loads((tmp_path / "out.city.json").read_text())["CityObjects"]["o-P00"]["attributes"]
+    assert {k: city[k] for k in want} == want and "none" not in city and city["ok"] is True
+    gen = "{http://www.opengis.net/citygml/generics/2.0}"
+    found = {e.get("name"): (e.tag.removeprefix(gen), e[0].text) for e in ET.parse(tmp_path / "out.gml").iter() if e.tag.startswith(gen) and e.get("name")}
+    assert found["n"] == ("intAttribute", "3") and found["x"] == ("doubleAttribute", "2.5") and found["ok"] == ("stringAttribute", "true") and found["big"] == ("intAttribute", str(2**40)) and found["t"] == ("stringAttribute", "é <&>") and "none" not in found
+
+
 def test_reference_systems():
     assert [exports.reference_system("EPSG:32750", v)["state"] for v in (None, "local", "EPSG:5773")] == ["unknown", "label_only", "explicit"]
     assert exports.reference_system("EPSG:32750+5773")["urn"].endswith("crs:EPSG::32750,crs:EPSG::5773")
