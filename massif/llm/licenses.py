@@ -32,7 +32,7 @@ _SPLIT = r"[ \t\n\x0B\f\r.,;:!?\"'()\[\]]+"
 #: Signature values of all templates up to which texts without any of them are left out before windows are made.
 LITERAL_VALUES = 20_000
 
-#: Notices as their licences publish them.
+#: Notices as their licences publish them, the MIT grant without its definition in brackets.
 TEMPLATES = {
     "All-Rights-Reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
