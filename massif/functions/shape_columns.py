@@ -2,10 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from massif.config import EngineConfig
 from massif.functions import overlay, shapes
+from massif.functions.regions import Regions, apart, areas
 from massif.operators import hierarchy
 
 
@@ -46,16 +48,15 @@ def overlap(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for one, other in zip(batch["a"], batch["b"], strict=True):
-                x, y = overlay.repaired(hierarchy.opened(one)), overlay.repaired(hierarchy.opened(other))
-                size, shared = overlay.area(x), overlay.area(overlay.intersection(x, y))
-                rows.append((shared, overlay.outside(x, y) if x else 0.0, shared / size if size else 0.0))
-            shared, outside, share = zip(*rows, strict=True) if rows else ((), (), ())
-            yield batch[keep].assign(shared_m2=shared, outside_m2=outside, share=share)
+            x, y = (Regions.of_column(batch.column(c)).united() for c in ("a", "b"))
+            size = areas(np.ones(x.n, bool), [x], [lambda w: w[:, 0] % 2 == 1])[:, 0]
+            met = ~apart(x, y)
+            shared, outside = areas(met, [x, y], [lambda w: (w % 2 == 1).all(axis=1), lambda w: (w[:, 0] % 2 == 1) & (w[:, 1] % 2 == 0)]).T
+            share = np.divide(shared, size, out=np.zeros(x.n), where=size > 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, (shared, np.where(met, outside, size), share))], names=[*keep, "shared_m2", "outside_m2", "share"])
 
     kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep)
-    return pairs.mapInPandas(run, f"{kinds}, shared_m2 double, outside_m2 double, share double")
+    return pairs.mapInArrow(run, f"{kinds}, shared_m2 double, outside_m2 double, share double")
 
 
 def union(parts: DataFrame) -> DataFrame:

@@ -359,6 +359,7 @@ def validate_geometry(spark, sf_dir):
 def polygon_overlap(spark, sf_dir):
     shapes_of = scene.part_shapes(spark, sf_dir)
     up = shapes_of.select(F.col("part_id").alias("above"), F.col("polygons").alias("b"))
+    up = up.hint("merge")  # a shape is larger than Spark takes a nested array for
     return _round(shape_columns.overlap(shapes_of.join(up, F.col("parent_part_id") == F.col("above")).select("part_id", "parent_part_id", F.col("polygons").alias("a"), "b")))
 
 
