@@ -1,10 +1,11 @@
 """Invariants of parts as queries: each returns the rows that break one."""
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massif.functions import overlay
+from massif.functions.regions import Regions, apart, areas
 
 
 def tolerance(round_digits: int = 2, saved: bool = False) -> float:
@@ -83,25 +84,28 @@ def geometry(parts: DataFrame, saved: bool = False) -> DataFrame:
     """
     up = parts.select(F.col("part_id").alias("above"), F.col("polygons").alias("parent_shape"))
     top = parts.filter("parent_part_id is null").groupBy("object_id").agg(F.min_by("polygons", "part_id").alias("root_shape"))
+    up, top = up.hint("merge"), top.hint("merge")  # a shape is larger than Spark takes a nested array for
     both = parts.select("object_id", "part_id", "parent_part_id", "polygons").join(up, F.col("parent_part_id") == F.col("above"), "left").join(top, "object_id", "left")
 
     def run(batches):
-        from massif.operators.hierarchy import opened
-
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                own = opened(row.polygons) if row.polygons is not None else []
-                if not overlay.valid(own):
-                    out.append((row.part_id, "the geometry is invalid or has no area"))
-                    continue
-                slack = max(1e-6 * overlay.area(own), 1e-4) + (0.01 * overlay.length(own) if saved else 0.0)
-                for shape, name in ((row.parent_shape, "parent"), (row.root_shape, "root")):
-                    if row.parent_part_id is not None and shape is not None and overlay.outside(own, opened(shape)) > slack:
-                        out.append((row.part_id, f"it lies outside its {name}"))
-            yield pd.DataFrame(out, columns=["part_id", "problem"]).astype(object)
-
-    return both.mapInPandas(run, "part_id string, problem string")
+            own, within = Regions.of_column(batch.column("polygons")), batch.column("parent_part_id").is_valid().to_numpy(zero_copy_only=False)
+            size = own.area()
+            fine = (own.polygons > 0) & ~own.bare() & (size > 0)
+            whole = areas(fine, [own.united()], [lambda w: w[:, 0] % 2 == 1])[:, 0]
+            fine &= np.abs(whole - size) <= 1e-6 * size
+            slack = np.maximum(1e-6 * size, 1e-4) + (0.01 * own.length() if saved else 0.0)
+            problems = [(~fine, "the geometry is invalid or has no area")]
+            for column, name in (("parent_shape", "parent"), ("root_shape", "root")):
+                shape = batch.column(column)
+                other, asked = Regions.of_column(shape), fine & within & shape.is_valid().to_numpy(zero_copy_only=False)
+                met = asked & ~apart(own, other)
+                outside = np.where(met, areas(met, [own, other], [lambda w: (w[:, 0] > 0) & (w[:, 1] <= 0)])[:, 0], size)
+                problems.append((asked & (outside > slack), f"it lies outside its {name}"))
+            found = [(batch.column("part_id").filter(pa.array(rows)), name) for rows, name in problems]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids for ids, _ in found]), pa.array([name for ids, name in found for _ in range(len(ids))], pa.string())], names=["part_id", "problem"])
+
+    return both.mapInArrow(run, "part_id string, problem string")
 
 
 def volume(parts: DataFrame, tol: float) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from massif.functions import overlay as ov
 from massif.functions import shape_columns
 from massif.functions.regions import Regions, apart, areas
-from massif.operators import hierarchy
+from massif.operators import hierarchy, validate
 
 SHAPE = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
 KINDS = "polygons array<array<array<array<double>>>>"
@@ -73,3 +73,12 @@ def test_overlap_of_missing_and_empty_shapes(spark):
     rows = [(1, square, hierarchy.closed(box(1, 1, 4, 4))), (2, square, None), (3, None, square), (4, square, []), (5, hierarchy.closed(box(0, 0, 1, 1) + box(2, 0, 1, 1)), square)]
     got = shape_columns.overlap(spark.createDataFrame(rows, f"k int, {KINDS.replace('polygons', 'a')}, {KINDS.replace('polygons', 'b')}")).orderBy("k").collect()
     assert [tuple(round(z, 9) for z in r) for r in got] == [(1, 9, 7, 0.5625), (2, 0, 16, 0), (3, 0, 0, 0), (4, 0, 16, 0), (5, 2, 0, 1)]
+
+def test_geometry_is_checked_without_a_loop_over_rows(spark):
+    bow = [[np.array([[0, 0], [2, 2], [2, 0], [0, 2]], float)]]
+    shapes = [("r", None, box(0, 0, 10, 10)), ("in", "r", box(1, 1, 3, 3)), ("out", "in", box(3, 3, 9, 9)), ("bow", "r", bow), ("gone", "r", None), ("flat", "r", box(0, 0, 1, 0)), ("two", "r", box(0, 0, 1, 1) + box(11, 0, 1, 1))]
+    parts = spark.createDataFrame([("o", name, up, None if s is None else hierarchy.closed(s)) for name, up, s in shapes], f"object_id string, part_id string, parent_part_id string, {KINDS}")
+    got = {tuple(r) for r in validate.geometry(parts).collect()}
+    invalid = {(name, "the geometry is invalid or has no area") for name in ("bow", "gone", "flat")}
+    assert got == invalid | {("out", "it lies outside its parent"), ("out", "it lies outside its root"), ("two", "it lies outside its parent"), ("two", "it lies outside its root")}
+    assert "MapInArrow" in validate.geometry(parts)._jdf.queryExecution().toString()
