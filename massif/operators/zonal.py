@@ -82,13 +82,14 @@ def pixels_in(footprints: DataFrame, raster: DataFrame, tile: int = 8) -> DataFr
     """Footprints (object_id, xs, ys) with the pixels (row, col, ...) whose centre lies inside.
 
     Each footprint is copied to the tiles that its bounds touch; the join is an equi-join on the
-    tile, so no footprint is compared with a pixel outside its own tiles.
+    tile, so no footprint is compared with a pixel outside its own tiles.  Both sides are dealt by
+    tile: Spark takes arrays and copies for much smaller than they are, and would broadcast any number of them.
     """
     to_tile = lambda v: F.floor(v / tile).cast("int")
     f = footprints.withColumns({"tr": F.explode(F.sequence(to_tile(F.array_min("ys")), to_tile(F.array_max("ys"))))})
     f = f.withColumn("tc", F.explode(F.sequence(to_tile(F.array_min("xs")), to_tile(F.array_max("xs")))))
     r = raster.withColumns({"tr": to_tile(F.col("row")), "tc": to_tile(F.col("col"))})
-    return f.join(r, ["tr", "tc"]).filter(in_ring(F.col("col") + 0.5, F.col("row") + 0.5, F.col("xs"), F.col("ys"))).drop("tr", "tc", "xs", "ys")
+    return f.hint("merge").join(r, ["tr", "tc"]).filter(in_ring(F.col("col") + 0.5, F.col("row") + 0.5, F.col("xs"), F.col("ys"))).drop("tr", "tc", "xs", "ys")
 
 
 def pixels_of(footprints: DataFrame, grid: Grid, tasks: int = 32) -> DataFrame:
