@@ -24,9 +24,22 @@ def closing(mask: DataFrame, n: int, height: int, width: int) -> DataFrame:
 
 
 def local_maxima(pixels: DataFrame, reach: int, least: float = 0.0) -> DataFrame:
-    """object_id, row, col, h: pixels above ``least`` that no pixel of the square around them exceeds."""
-    h = pixels.select("object_id", "row", "col", (F.col("dsm") - F.col("dtm")).alias("h"))
-    across = h.withColumn("m", F.max("h").over(Window.partitionBy("object_id", "row").orderBy("col").rangeBetween(-reach, reach)))
+    """object_id, row, col, h: pixels above ``least`` that no pixel of the square around them exceeds.
+
+    The largest of each row's neighbours is passed on along columns, so it needs a place also where the row has
+    no pixel itself: beside gaps and ends rows without h stand in, as far as the square reaches.
+    """
+    h = pixels.select("object_id", "row", "col", (F.col("dsm") - F.col("dtm")).alias("h")).filter("object_id is not null and row is not null and col is not null")
+    line = Window.partitionBy("object_id", "row").orderBy("col")
+    col, before, after = F.col("col"), F.col("before"), F.col("after")
+    beside = h.withColumns({"before": F.lag("col").over(line), "after": F.lead("col").over(line)})
+    # each gap's left part is made by the pixel before it, and by the one after it what that doesn't reach
+    right = F.when(after.isNull(), col + reach).otherwise(F.least(col + reach, after - 1))
+    left = F.when(before.isNull(), col - reach).otherwise(F.greatest(col - reach, before + reach + 1))
+    span = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    cells = F.concat(F.array(F.struct(col, F.col("h"))), F.transform(F.concat(span(left, col - 1), span(col + 1, right)), lambda c: F.struct(c.alias("col"), F.lit(None).cast("double").alias("h"))))
+    every = beside.select("object_id", "row", F.inline(cells))
+    across = every.withColumn("m", F.max("h").over(line.rangeBetween(-reach, reach)))
     both = across.withColumn("m", F.max("m").over(Window.partitionBy("object_id", "col").orderBy("row").rangeBetween(-reach, reach)))
     return both.filter((F.col("h") == F.col("m")) & (F.col("h") > least)).select("object_id", "row", "col", "h")
 
