@@ -1,6 +1,7 @@
 """What the operators share: table access, lineage cuts, word splitting and pass-through Arrow maps."""
 
 import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -36,6 +37,15 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXTS))
 
 
+def give_back() -> None:
+    """Return the memory that this process no longer uses to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # only glibc has it
+
+
 def released(run):
     """The map function, with the memory that its buffers took given back at the end of each partition: workers live on."""
 
@@ -43,11 +53,7 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # only glibc has it
+            give_back()
 
     return wrapped
 
@@ -99,6 +105,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer used; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def held(small: DataFrame, rows: int = 500_000) -> DataFrame:
     """The frame, to be broadcast if it has few rows (of a few numbers or short strings); else it is joined by shuffling."""
     return F.broadcast(small) if small.count() <= rows else small

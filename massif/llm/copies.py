@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massif.llm import simhash
-from massif.llm.common import cut, held, released, slices, with_arrow
+from massif.llm.common import cut, held, released, slices, swept, with_arrow
 from massif.llm.simhash import closure, keep_first
 
-SHINGLE, SAMPLE, HEAVY, HOT, CELL, ROUNDS, ROWS, BINS, SEEN = 5, 4096, 100_000, 8, 16, 6, 1 << 17, 256, 1 << 18
+SHINGLE, SAMPLE, HEAVY, HOT, CELL, ROUNDS, ROWS, BINS, SEEN = 5, 1 << 16, 200_000, 512, 16, 6, 1 << 17, 256, 1 << 18
 _hash, _MIX, U = partial(xxhash.xxh64_intdigest, seed=42), np.uint64(0x9E3779B97F4A7C15), np.uint64
 
 
@@ -89,15 +89,22 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, U)]).view(np.int64)))
 
 
-def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of more than one text of a sample, sorted, and their places in the order from 1."""
-    fraction = min(1.0, SAMPLE / max(1, docs.count()))
+def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles of several texts of a sample, sorted, their places in the order from 1, and the place from which they are hot.
+
+    Only a quarter of each set is counted, by hash, which is somewhat more than its prefix: others seldom come into one.
+    Those that wouldn't fill half a cell are left out, as most shingles of a few near copies.
+    """
+    n = docs.count()
+    fraction = min(1.0, SAMPLE / max(1, n))
     adds = T.StructType([T.StructField("s", T.ArrayType(T.LongType()))])
-    sample = with_arrow(docs.select("text").sample(fraction, 42), ["text"], adds, lambda c: [_lists([shingles(t, k) for t in c[0]])])
-    top = sample.select(F.explode("s").alias("s")).groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(HEAVY).toArrow()
-    keys, n = top["s"].to_numpy().view(U), top["count"].to_numpy()
+    sample = with_arrow(docs.select("text").sample(fraction, 42), ["text"], adds, lambda c: [_lists([x[: len(x) // 4 + 1] for x in (shingles(t, k) for t in c[0])])])
+    least = max(2, int(CELL / 2 * fraction))
+    top = sample.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "s").limit(HEAVY).toArrow()
+    keys, many = top["s"].to_numpy().view(U), top["count"].to_numpy()
     order = np.argsort(keys)
-    return keys[order], n[order]
+    swept(docs.sparkSession)
+    return keys[order], many[order], max(8, int(n * fraction / HOT))
 
 
 def described(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -116,8 +123,8 @@ def index(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     heavy = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
 
     def run(batches):
-        keys, rank = heavy.value
-        hot, seen = keys[rank >= HOT], set()
+        keys, rank, least = heavy.value
+        hot, seen = keys[rank >= least], set()
         for batch in (piece for whole in batches for piece in slices(whole)):
             key, own = [], []
             for text in batch.column(0).to_pylist():
@@ -264,8 +271,10 @@ def _closest(distinct: DataFrame) -> DataFrame:
 def links(docs: DataFrame, distinct: DataFrame, k: int = SHINGLE, cell: int = CELL) -> DataFrame:
     """a, b: edges between distinct sets (fp, n, sim, bins, mark) whose closure is that of all similar pairs."""
     found = cut(_cells(index(docs, k), cell))
+    swept(docs.sparkSession)
     seen = cut(_closest(distinct).unionByName(found.filter("b is not null").select("a", "b")).distinct())
     edges, crowded = _verified(seen, docs, distinct, k), found.filter("b is null").drop("b").distinct()
+    swept(docs.sparkSession)
     fits = F.expr("5 * least(n, m) >= 4 * greatest(n, m)")
     for turn in range(ROUNDS + 1):
         roots = closure(edges).select(F.col("node").alias("a"), "root")
@@ -284,6 +293,7 @@ def links(docs: DataFrame, distinct: DataFrame, k: int = SHINGLE, cell: int = CE
             near = near.filter(F.expr("a < b and 9 * least(n - pos, m - at) >= 4 * (n + m)"))
         pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"))
         edges = cut(edges.unionByName(_verified(pairs, docs, distinct, k)))
+        swept(docs.sparkSession)
         if last:
             break
         seen, crowded = seen.unionByName(pairs), crowded.select("key", "a", "n", "pos")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massif.llm.common import released, remainder, with_arrow
+from massif.llm.common import give_back, released, remainder, with_arrow
 
 ORDERS, BUCKETS, DIM, SAMPLE, EPOCHS, RATE, SEED = (2, 3, 4), 1 << 16, 16, 4000, 6, 4.0, 7
 REFUSE, ACCEPT, BLOCK = 0.001, 0.5, 1 << 20
@@ -153,6 +153,14 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 
 def learn(docs: DataFrame, modulus: int = 5, sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of the documents whose crc32 remainder is not 0 and whose language is known."""
+    try:
+        return train(_sample(docs, modulus, sample))
+    finally:
+        give_back()  # the sample is the most that the driver's Python holds
+
+
+def _sample(docs: DataFrame, modulus: int, sample: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """language, buckets, counts of the texts to learn from."""
     own = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), modulus) != 0))
     sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     each = max(1, sample // max(1, len(sizes)))
@@ -162,27 +170,23 @@ def learn(docs: DataFrame, modulus: int = 5, sample: int = SAMPLE) -> Model:
         test = (F.col("lang") == lang) & (place < int(1_000_000 * min(1.0, each / n)))
         picked = test if picked is None else picked | test
     if picked is None:
-        return train([])
+        return []
 
     def count(batches):
         for batch in batches:
             got = [counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([n for _, n in got], pa.list_(pa.int64()))], names=["lang", "idx", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([n for _, n in got], pa.list_(pa.int32()))], names=["lang", "idx", "n"])
 
-    got = own.filter(picked).select("lang", "text").mapInArrow(released(count), "lang string, idx array<int>, n array<bigint>").toArrow().combine_chunks()
-    langs = got["lang"].to_pylist()
+    got = own.filter(picked).select("lang", "text").mapInArrow(released(count), "lang string, idx array<int>, n array<int>").toArrow()
 
     def lists(name, kind):  # without a Python object for each number
-        column = got[name].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        edges, flat = column.offsets.to_numpy(), column.values.to_numpy().astype(kind)
-        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for column in got[name].chunks:
+            edges, flat = column.offsets.to_numpy(), column.values.to_numpy().astype(kind, copy=False)
+            yield from (flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
 
-    if not langs:
-        return train([])
-    rows = list(zip(langs, lists("idx", np.int32), lists("n", np.float32), strict=True))
+    rows = list(zip(got["lang"].to_pylist(), lists("idx", np.int32), lists("n", np.float32), strict=True))
     rows.sort(key=lambda r: (r[0], zlib.crc32(r[1].tobytes() + r[2].tobytes())))  # whatever order the tasks ended in
-    return train(rows)
+    return rows
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -646,3 +646,12 @@ def test_pipeline(spark, data):
     for r in rows:
         size[r.doc_id] += r.length
     assert all(size[r.doc_id] == r.doc_tokens for r in rows)
+
+
+def test_passages_that_many_texts_share_fill_no_cells(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    passages = [word(40) for _ in range(30)]
+    docs = spark.createDataFrame([(f"{word(60)} {passages[i % 30]} {word(60)}",) for i in range(900)], "text string")  # 30 of each: more than a cell
+    short = spark.range(120_000).select(F.concat_ws(" ", *(F.xxhash64("id", F.lit(k)).cast("string") for k in range(5))).alias("text"))
+    assert copies._cells(copies.index(docs.unionByName(short)), copies.CELL).count() == 0
