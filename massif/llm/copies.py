@@ -13,12 +13,15 @@ find the closest copies, and the join finds all others:
    hash.  Any order gives the same links; this one keeps boilerplate out of the index.  Linked sets
    share one of the first n - ceil(4 n / 5) + 1 shingles of each, so only these are dealt out by shingle;
    shingles that are very frequent in the sample are known to be crowded and are spread.
-4. Cells of at most ``CELL`` sets give all pairs that size and position allow.  In a larger cell all are
-   compared with one member, another in each round, as long as that joins groups; then all pairs of
-   its sets that are in different groups yet are compared.  Sets of one group are in one
-   component already, so nothing is lost, and a group of near copies costs a row for each, not each pair.
-   Only sets that share a rare shingle and really are dissimilar meet pair by pair.
-5. Candidates whose shingles fall into ``BINS`` bins so differently that the bins alone rule out the
+4. Cells of at most ``CELL`` sets give all pairs that size and position allow.  Linked sets that meet only
+   in larger cells are both among the sets of these, a few of all; so these sets alone are joined once more,
+   in an order of their own: by how many of them have a shingle, counted in all and not in a sample.  There
+   a sentence that many texts repeat comes last, however few of the whole table have it.
+5. In a cell that is still larger all are compared with one member, another in each round, as long as that
+   joins groups; then all pairs of its sets that are in different groups yet are compared.  Sets that are
+   too far down to be linked even to the shortest of the cell are left out.  Sets of one group are in one component already, so nothing is lost, and a group of near copies costs a row for each,
+   not each pair.  Only sets that share a rare shingle and really are dissimilar meet pair by pair.
+6. Candidates whose shingles fall into ``BINS`` bins so differently that the bins alone rule out the
    similarity are dropped; the others are verified on their whole sets, made again from the texts that take part.
 
 Defined results: null, empty and blank texts are one empty set; rows that share a doc_id are linked; rows
@@ -84,6 +87,10 @@ def bins_of(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own % U(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
+def _arrays(sets: list) -> list[np.ndarray]:
+    return [np.frombuffer(s.as_buffer(), U) for s in sets]
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, U)]).view(np.int64)))
@@ -107,6 +114,33 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     return keys[order], many[order], max(8, int(n * fraction / HOT))
 
 
+def _counted(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The same for whole sets (fp, s), all of which are counted."""
+
+    def run(batches):
+        def out(waiting):
+            key, many = np.unique(np.concatenate(waiting), return_counts=True)
+            for at in range(0, len(key), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + ROWS].view(np.int64)), pa.array(many[at : at + ROWS])], names=["s", "many"])
+
+        waiting, size = [], 0
+        for batch in (piece for whole in batches for piece in slices(whole)):
+            for own in _arrays(batch.column(1)):
+                waiting.append(own)
+                size += len(own)
+            if size >= 8 * ROWS:
+                yield from out([np.array(x) for x in waiting])
+                waiting, size = [], 0
+        if size:
+            yield from out(waiting)
+
+    n, each = sets.count(), sets.select("fp", "s").mapInArrow(released(run), "s long, many long")
+    top = each.groupBy("s").agg(F.sum("many").alias("many")).filter(F.col("many") >= CELL // 2).orderBy(F.desc("many"), "s").limit(HEAVY).toArrow()
+    keys, many = top["s"].to_numpy().view(U), top["many"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], many[order], max(2 * CELL, n // HOT)
+
+
 def described(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, mark (the text's hash), fp (the set's), n, sim, bins."""
     adds = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sim", T.LongType()), T.StructField("bins", T.BinaryType())])
@@ -118,18 +152,16 @@ def described(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return with_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), ["text"], adds, run).drop("text")
 
 
-def index(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """key, a (the set), n, pos, hot: the prefixes; each task gives a set once, as far as it remembers."""
-    heavy = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
+def _prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray, int], read) -> DataFrame:
+    """key, a (the set), n, pos, hot: the prefixes in this order; ``read`` gives the names and sets of a batch."""
+    heavy = rows.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         keys, rank, least = heavy.value
         hot, seen = keys[rank >= least], set()
         for batch in (piece for whole in batches for piece in slices(whole)):
             key, own = [], []
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, k)
-                name = set_id(found)
+            for name, found in read(batch):
                 if name in seen:
                     continue
                 if len(seen) >= SEEN:
@@ -146,7 +178,17 @@ def index(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             for at in range(0, len(key), ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + ROWS]) for x in columns], names=["key", "a", "n", "pos", "hot"])
 
-    return docs.select("text").mapInArrow(released(run), "key long, a long, n int, pos int, hot boolean")
+    return rows.mapInArrow(released(run), "key long, a long, n int, pos int, hot boolean")
+
+
+def index(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """key, a (the set), n, pos, hot: the prefixes; each task gives a set once, as far as it remembers."""
+    return _prefixes(docs.select("text"), _frequent(docs, k), lambda batch: ((set_id(own), own) for own in (shingles(t, k) for t in batch.column(0).to_pylist())))
+
+
+def reindex(sets: DataFrame) -> DataFrame:
+    """The same for whole sets (fp, s), in the order of their own counts."""
+    return _prefixes(sets.select("fp", "s"), _counted(sets), lambda batch: zip(batch.column(0).to_pylist(), _arrays(batch.column(1)), strict=True))
 
 
 def _cells(rows: DataFrame, cell: int) -> DataFrame:
@@ -208,6 +250,12 @@ def _cells(rows: DataFrame, cell: int) -> DataFrame:
     return rows.repartition(place).sortWithinPartitions("key").mapInArrow(released(run), "key long, a long, n int, pos int, b long")
 
 
+def _able(rows: DataFrame) -> DataFrame:
+    """The rows key, a, n, pos that a set as short as the shortest of their cell could be linked to: what comes before ``pos`` isn't shared."""
+    least = cut(rows.groupBy("key").agg(F.min("n").alias("least")))
+    return rows.join(held(least), "key").filter("9 * (n - pos) >= 4 * (n + least)").drop("least")
+
+
 def _possible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Those of the pairs a, b whose sizes and bins allow the similarity."""
     side = lambda x: distinct.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
@@ -224,11 +272,9 @@ def _possible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(released(run), "a long, b long"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
-    """Those of the pairs a, b whose sets are similar."""
-    pairs = _possible(pairs, distinct)
-    both = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    marks = cut(distinct.select("fp", "mark").join(both, "fp", "left_semi").select("mark").distinct())
+def _sets(docs: DataFrame, distinct: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """fp, s: the whole sets of those wanted (fp), made again from their texts."""
+    marks = cut(distinct.select("fp", "mark").join(wanted, "fp", "left_semi").select("mark").distinct())
     texts = docs.select("text", F.xxhash64("text").alias("mark")).join(held(marks), "mark", "left_semi")
 
     def run(batches):
@@ -244,20 +290,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, k: int) ->
                         seen.add(name)
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["fp", "s"])
 
-    sets = texts.select("text").mapInArrow(released(run), "fp long, s binary").groupBy("fp").agg(F.first("s").alias("s"))
+    return texts.select("text").mapInArrow(released(run), "fp long, s binary").groupBy("fp").agg(F.first("s").alias("s"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose sets (fp, s) are similar."""
     met = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def similar(batches):
         for batch in (piece for whole in batches for piece in slices(whole)):
-            keep = []
-            for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), U) for z in (sa, sb))
-                keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            keep = [9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)) for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return cut(met.mapInArrow(released(similar), "a long, b long"))
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
+    """Those of the pairs a, b whose sets are similar."""
+    pairs = _possible(pairs, distinct)
+    both = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    return _similar(pairs, _sets(docs, distinct, both, k))
+
+
 def _closest(distinct: DataFrame) -> DataFrame:
     """a, b: pairs of sets whose SimHashes are equal or near: each set with the first of its SimHash, and the firsts of linked SimHashes."""
     firsts = cut(distinct.filter("n > 0").groupBy("sim").agg(F.min("fp").alias("a")))
@@ -273,7 +327,13 @@ def links(docs: DataFrame, distinct: DataFrame, k: int = SHINGLE, cell: int = CE
     found = cut(_cells(index(docs, k), cell))
     swept(docs.sparkSession)
     seen = cut(_closest(distinct).unionByName(found.filter("b is not null").select("a", "b")).distinct())
-    edges, crowded = _verified(seen, docs, distinct, k), found.filter("b is null").drop("b").distinct()
+    edges, crowded = _verified(seen, docs, distinct, k), _able(found.filter("b is null").drop("b").distinct()).select(F.col("a").alias("fp")).distinct()
+    swept(docs.sparkSession)
+    sets = cut(_sets(docs, distinct, crowded, k))  # all pairs from here on are of these
+    found = cut(_cells(reindex(sets), cell))
+    pairs = cut(found.filter("b is not null").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
+    edges, seen = cut(edges.unionByName(_similar(_possible(pairs, distinct), sets))), seen.unionByName(pairs)
+    crowded = _able(found.filter("b is null").drop("b").distinct())
     swept(docs.sparkSession)
     fits = F.expr("5 * least(n, m) >= 4 * greatest(n, m)")
     for turn in range(ROUNDS + 1):
@@ -283,7 +343,7 @@ def links(docs: DataFrame, distinct: DataFrame, k: int = SHINGLE, cell: int = CE
         todo = groups.agg(F.sum("size").alias("rows"), F.sum(F.expr("(size * size - own) / 2")).alias("pairs")).first()
         if not todo.rows:
             break
-        crowded = rows.join(groups.select("key"), "key", "left_semi")
+        crowded = cut(rows.join(groups.select("key"), "key", "left_semi"))
         right = crowded.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other"))
         last = turn == ROUNDS or todo.pairs <= cell * todo.rows
         if not last:
@@ -292,7 +352,7 @@ def links(docs: DataFrame, distinct: DataFrame, k: int = SHINGLE, cell: int = CE
         if last:
             near = near.filter(F.expr("a < b and 9 * least(n - pos, m - at) >= 4 * (n + m)"))
         pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"))
-        edges = cut(edges.unionByName(_verified(pairs, docs, distinct, k)))
+        edges = cut(edges.unionByName(_similar(_possible(pairs, distinct), sets)))
         swept(docs.sparkSession)
         if last:
             break

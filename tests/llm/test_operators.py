@@ -607,6 +607,26 @@ def test_near_copies_equal_brute_force(spark):
     assert copies.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_sets_of_crowded_cells_are_ordered_by_all_of_them(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    shared = word(40)
+    texts = [" ".join(word(60) + shared) for _ in range(60)]
+    texts += [" ".join([*texts[0].split()[:-1], "z"]), " ".join([*texts[1].split()[:-1], "y"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), 1 << 30
+    monkeypatch.setattr(copies, "_frequent", lambda docs, k: none)  # a sample that has none of them
+    first = copies._cells(copies.index(docs), 4).cache()
+    assert first.filter("b is null").count() > 0
+    distinct = copies.described(docs).groupBy("fp").agg(F.first("n").alias("n"), F.min("mark").alias("mark"))
+    sets = copies._sets(docs, distinct, first.filter("b is null").select(F.col("a").alias("fp")).distinct(), copies.SHINGLE).cache()
+    assert sets.count() == len(texts)
+    again = copies._cells(copies.reindex(sets), 4)
+    assert again.filter("b is null").count() == 0
+    got = {x.doc_id: x.component_id for x in copies.components(docs, cell=4).collect()}
+    assert got == {k: k for k in range(60)} | {60: 0, 61: 1}
+
+
 # ---- pipeline ----
 
 
