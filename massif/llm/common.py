@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 SPACES = " \t\n\x0b\x0c\r"
 #: Texts in an Arrow batch.
 TEXTS = 1000
+#: Share of the largest heap that the driver's may take before its garbage is collected.
+HEAP = 0.6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,7 +104,9 @@ def remove(spark: SparkSession, folder: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a replicated, shared checkpoint."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    eased(df.sparkSession)
+    return out
 
 
 def swept(spark: SparkSession) -> None:
@@ -111,6 +115,13 @@ def swept(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def eased(spark: SparkSession) -> None:
+    """Collect the driver's garbage if its heap has grown large: plans of many steps fill it, and only a whole collection gives memory back."""
+    runtime = spark._jvm.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP * runtime.maxMemory():
+        swept(spark)
+
+
 def held(small: DataFrame, rows: int = 500_000) -> DataFrame:
     """The frame, to be broadcast if it has few rows (of a few numbers or short strings); else it is joined by shuffling."""
     return F.broadcast(small) if small.count() <= rows else small

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massif.llm.common import give_back, released, remainder, with_arrow
+from massif.llm.common import eased, give_back, released, remainder, with_arrow
 
 ORDERS, BUCKETS, DIM, SAMPLE, EPOCHS, RATE, SEED = (2, 3, 4), 1 << 16, 16, 4000, 6, 4.0, 7
 REFUSE, ACCEPT, BLOCK = 0.001, 0.5, 1 << 20
@@ -154,7 +154,9 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 def learn(docs: DataFrame, modulus: int = 5, sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of the documents whose crc32 remainder is not 0 and whose language is known."""
     try:
-        return train(_sample(docs, modulus, sample))
+        got = _sample(docs, modulus, sample)
+        eased(docs.sparkSession)  # the JVM's copies of it
+        return train(got)
     finally:
         give_back()  # the sample is the most that the driver's Python holds
 

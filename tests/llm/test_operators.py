@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from massif.llm import copies, decontam, langid, licenses, packing, ppm, quality, sharding, simhash, toxicity, warc
+from massif.llm import common, copies, decontam, langid, licenses, packing, ppm, quality, sharding, simhash, toxicity, warc
 from massif.llm import queries as q
 from massif.llm.common import share_code
 
@@ -627,6 +627,16 @@ def test_sets_of_crowded_cells_are_ordered_by_all_of_them(spark, monkeypatch):
     assert got == {k: k for k in range(60)} | {60: 0, 61: 1}
 
 
+def test_driver_collects_its_garbage_when_its_heap_is_large(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "swept", calls.append)
+    monkeypatch.setattr(common, "HEAP", 2.0)
+    common.cut(spark.range(1))
+    assert not calls
+    monkeypatch.setattr(common, "HEAP", 0.0)
+    assert common.cut(spark.range(3)).count() == 3 and len(calls) == 1
+
+
 # ---- pipeline ----
 
 
